@@ -44,7 +44,7 @@ WITH d AS (
   SELECT doc_id, item_id, k, m FROM g JOIN p USING (m, g)
 ), n AS (
   SELECT doc_id, count(*) AS n_hit
-  FROM (SELECT DISTINCT doc_id, at FROM (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS at FROM h)) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM h)) GROUP BY doc_id
 ), i AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
