@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .jaccard_join import group_documents
 from .lm_scoring import score_documents
 from .packing_bins import pack_documents
 
@@ -17,6 +19,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,5 +61,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op5_benchmark_decontamination, op9_best_fit_packing)}
-ORACLE_SQL = {"op5_benchmark_decontamination": _OP5_SQL}
+_OP2_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, reached) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op5_benchmark_decontamination, op9_best_fit_packing)}
+ORACLE_SQL = {"op2_ngram_jaccard_join": _OP2_SQL, "op5_benchmark_decontamination": _OP5_SQL}
