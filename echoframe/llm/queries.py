@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .jaccard_join import group_documents
+from .line_dedup import dedup_lines
 from .lm_scoring import score_documents
 from .packing_bins import pack_documents
 
@@ -23,6 +24,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -82,5 +87,28 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reached) AS
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op5_benchmark_decontamination, op9_best_fit_packing)}
-ORACLE_SQL = {"op2_ngram_jaccard_join": _OP2_SQL, "op5_benchmark_decontamination": _OP5_SQL}
+_OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS g, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
+), r AS (
+  SELECT *, (g + 31 * coalesce(lag(g) OVER w, 0)) % 2147483647 AS r, lead(n) OVER w AS following FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT *, CASE WHEN following IS NULL OR n >= 50 OR following >= 50 OR coalesce(r > lag(r) OVER w AND r >= lead(r) OVER w, false) THEN 1 ELSE 0 END AS cut
+  FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), k AS (
+  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM c
+), b AS (
+  SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines, count(*) FILTER (n > 0) AS filled, sum(n) AS words FROM k GROUP BY doc_id, no
+), f AS (
+  SELECT *, (filled >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS gone FROM b
+), t AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS removed_chunks, sum(lines) FILTER (gone) AS removed_lines FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
+  CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op4_line_dedup, op5_benchmark_decontamination, op9_best_fit_packing)}
+ORACLE_SQL = {"op2_ngram_jaccard_join": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op5_benchmark_decontamination": _OP5_SQL}
