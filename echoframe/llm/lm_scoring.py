@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, *, folds: int = 10, test_fold: int = 0, wei
     parts = max(12, total // range_bytes)
     bits = min(64, max(48, (total // 4).bit_length() + 21))
 
-    asked = chunks.repartition(max(12, int(total // chunk_bytes)), "chunk").mapInArrow(_requests(parts, bits), _REQUEST_SQL)
+    asked = chunks.mapInArrow(_requests(parts, bits), _REQUEST_SQL)
     answers = work.table("answers", asked.groupBy("part").applyInArrow(_add_up, _ANSWER_SQL))
     types, tokens, kept = (x or 0 for x in answers.filter("chunk = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("kept_tokens")).first())
 
