@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .importance import resample
 from .jaccard_join import group_documents
+from .language_id import identify_languages
 from .line_dedup import dedup_lines
 from .lm_scoring import score_documents
 from .packing_bins import pack_documents
+from .quality_rules import apply_rules
+from .sharding import assign_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,10 +40,29 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(_table(spark, sf_dir, "documents"))
+
+
+#: Shards this small keep the query telling on the smallest tables; a cluster would use 256 MiB.
+SHARD_BYTES = 1 << 20
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+    predicted = identify_languages(docs, docs.filter(~held_out))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs", "proportions")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP5_SQL = f"""
@@ -110,5 +137,36 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS t
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard_join, op4_line_dedup, op5_benchmark_decontamination, op9_best_fit_packing)}
-ORACLE_SQL = {"op2_ngram_jaccard_join": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op5_benchmark_decontamination": _OP5_SQL}
+_OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), p AS (
+  SELECT depth, hash >> (60 - depth) AS p, sum(bytes) AS shard_bytes
+  FROM (SELECT *, unnest(range(0, 61)) AS depth FROM d) GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES} OR min(hash) = max(hash)
+), m AS (
+  SELECT doc_id, bytes, hash, min(depth) AS depth, min_by(shard_bytes, depth) AS shard_bytes
+  FROM (SELECT *, unnest(range(0, 61)) AS depth FROM d) x JOIN p USING (depth) WHERE p.p = x.hash >> (60 - depth) GROUP BY doc_id, bytes, hash
+)
+SELECT doc_id, bytes, CAST(depth AS BIGINT) AS depth, substr(lpad(bin(hash), 60, '0'), 1, depth) AS shard, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM m
+"""
+
+_ALL = (
+    op1_lm_scoring,
+    op2_ngram_jaccard_join,
+    op3_quality_classifier,
+    op4_line_dedup,
+    op5_benchmark_decontamination,
+    op6_quality_rules,
+    op8_sharding,
+    op9_best_fit_packing,
+    op10_language_id,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {
+    "op2_ngram_jaccard_join": _OP2_SQL,
+    "op4_line_dedup": _OP4_SQL,
+    "op5_benchmark_decontamination": _OP5_SQL,
+    "op8_sharding": _OP8_SQL,
+}
