@@ -331,3 +331,14 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "n_copies", "component_id")
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their group, all columns kept.
+
+    Rows that repeat doc_id and text stay once.  Texts without words are in no group and stay.
+    """
+    groups = group_documents(docs, **options)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.withColumn("_digest", F.md5("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "_digest"]).select([F.col(f"`{c}`") for c in docs.columns])

@@ -138,7 +138,7 @@ def covariance_distances(rows: DataFrame, work: Workspace, *, features: dict[str
     return measured.join(scale, "group").withColumn("distance2", F.col("d") / F.greatest("scale", F.lit(1.0))).drop("mean", "precision", "d", "scale")
 
 
-def apply_rules(docs: DataFrame, *, cutoff: float = 150.0, least_rows: int = 200, least_words: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, *, cutoff: float = 80.0, least_rows: int = 200, least_words: int = 50) -> DataFrame:
     """Judge every row of ``docs`` (doc_id, text, lang, source).
 
     Results: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,10 +164,12 @@ _ALL = (
     op9_best_fit_packing,
     op10_language_id,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": _OP2_SQL,
     "op4_line_dedup": _OP4_SQL,
     "op5_benchmark_decontamination": _OP5_SQL,
     "op8_sharding": _OP8_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
