@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .html_extraction import extract_text
 from .importance import resample
 from .jaccard_join import group_documents
 from .language_id import identify_languages
@@ -45,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 #: Shards this small keep the query telling on the smallest tables; a cluster would use 256 MiB.
 SHARD_BYTES = 1 << 20
 
@@ -160,6 +165,7 @@ _ALL = (
     op4_line_dedup,
     op5_benchmark_decontamination,
     op6_quality_rules,
+    op7_html_extraction,
     op8_sharding,
     op9_best_fit_packing,
     op10_language_id,
