@@ -17,10 +17,16 @@ Three lossless refinements keep the candidates few:
 * Parity sketches bound the difference of two sets from below; a pair whose
   sketches differ in more than the allowed number of bits is dropped unread.
 
+* A set with u elements that no other crowded set has shares at most n - u
+  elements with any of them; where that is too few, the set is dropped, which
+  leaves more elements of others alone (a few rounds).
+
 Crowded signatures that remain come from large groups of near copies.  There a
-first round compares members with one pivot of the signature only, and a second
-round compares members that are still in different components; pairs inside a
-component need no look, as the result is the components.
+first round compares members with one pivot of the signature only, the one with
+the least share of elements of its own (the text that was copied).  A second
+round compares members that are still in different components and whose common
+elements can be enough; pairs inside a component need no look, as the result is
+the components.
 
 Spark plan: signatures travel as sorted key blobs by hash range (see packing),
 candidates and sketches as narrow rows; only the sets of candidates that pass
@@ -41,6 +47,8 @@ from .packing import U, chain, lower_utf8, mix, pack, pack_sorted, ranges, unpac
 from .store import Workspace
 
 _BITS = 48
+#: Words of 64 bits in the sketch of fixed length that joins compare.
+_PARITY = 8
 #: A signature with more classes than this is crowded.
 _CROWD = 8
 
@@ -226,7 +234,7 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def _sets(words: int, seed: int, percent: int):
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("elements", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("elements", pa.binary()), ("parity", pa.list_(pa.int64()))])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(percent)
@@ -234,13 +242,34 @@ def _sets(words: int, seed: int, percent: int):
             rows = []
             for text in table.column("text"):
                 s = shingles(text.as_py(), words, seed)
-                rows.append((fingerprint(s)[0], len(s), sketch(s, measure.sketch_bits(len(s))), s.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
+                rows.append((fingerprint(s)[0], len(s), sketch(s, measure.sketch_bits(len(s))), s.tobytes(), np.frombuffer(sketch(s, _PARITY * 64), np.int64)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _elements(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (element, cls) for each element of each set, set by set."""
+    for table in tables:
+        for cls, blob in zip(table.column("cls").to_pylist(), table.column("elements"), strict=True):
+            e = np.frombuffer(blob.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), cls, np.int64))], names=["element", "cls"])
+
+
+def _peel(crowded: DataFrame, sets: DataFrame, work: Workspace, percent: int, rounds: int = 4) -> DataFrame:
+    """(key, cls, n, parity, own) of the crowded sets that can have a partner among themselves."""
+    left = work.table("peel-0", sets.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "parity", F.lit(0).cast("long").alias("own")))
+    for k in range(1, rounds + 1):
+        alone = sets.join(left.select("cls"), "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "element long, cls long")
+        alone = alone.groupBy("element").agg(F.count("*").alias("times"), F.min("cls").alias("cls")).filter("times = 1").groupBy("cls").agg(F.count("*").alias("more"))
+        met = left.join(alone, "cls", "left").select("cls", "n", "parity", F.coalesce("more", F.lit(0)).cast("long").alias("own"))
+        before, left = left, work.table(f"peel-{k}", met.filter((F.col("n") - F.col("own")) * 100 >= percent * F.col("n")))
+        if left.count() == before.count():
+            break
+    return work.table("members", crowded.join(left, "cls"))
+
+
 def _near(percent: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(percent)
@@ -298,16 +327,19 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
     crowded = found.filter("key is not null").select("key", "cls", "shared")
     busy = crowded.groupBy("cls", "shared").agg(F.count("*").alias("h")).filter("h >= shared").select("cls", "shared")
     crowded = work.table("crowded", crowded.join(busy, ["cls", "shared"]).select("key", "cls"))
-    pivots = crowded.groupBy("key").agg(F.min("cls").alias("a"))
-    first = found.filter("a is not null").select("a", "b").union(crowded.join(pivots, "key").select("a", F.col("cls").alias("b")))
-    first = work.table("first", first.filter("a != b").distinct())
+    pairs = found.filter("a is not null").select("a", "b").distinct()
 
-    wanted = first.select(F.col("a").alias("cls")).union(first.select("b")).union(crowded.select("cls")).distinct()
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(crowded.select("cls")).distinct()
     chosen = rows.filter("n > 0").join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("chosen"))
     texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words, seed, percent), "cls long, n long, sketch binary, elements binary")
+    sets = texts.mapInArrow(_sets(words, seed, percent), "cls long, n long, sketch binary, elements binary, parity array<long>")
     sets = work.table("sets", sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
+    member = _peel(crowded, sets, work, percent)
+    pivots = member.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "cls")).alias("pivot"))
+    stars = member.join(pivots, "key").select(F.least("pivot.cls", "cls").alias("a"), F.greatest("pivot.cls", "cls").alias("b"))
+    first = work.table("first", pairs.union(stars.filter("a != b")).distinct())
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         def side(x: str, *columns: str) -> DataFrame:
             return sets.select(F.col("cls").alias(x), *(F.col(c).alias(c[0] + x) for c in columns))
@@ -318,13 +350,17 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
 
     links = verified(first, "1")
     groups = connected_components(links, work, "groups-1")
-    member = crowded.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+    member = member.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    member = work.table("member", member.join(split, "key", "left_semi"))
+    member = work.table("split", member.join(split, "key", "left_semi"))
     if not member.isEmpty():
-        other = member.select("key", F.col("cls").alias("b"), F.col("component").alias("other"))
-        across = member.withColumnRenamed("cls", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")))
-        links = links.union(verified(across.select("a", "b").distinct(), "2"))
+        one, two = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "own", "component")), *(F.get("parity", F.lit(k)).alias(f"{x}_{k}") for k in range(_PARITY))) for x in "ab")
+        common = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
+        enough = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_component") != F.col("b_component")) & (common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
+        apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in range(1, _PARITY)), F.bit_count(F.col("a_0").bitwiseXOR(F.col("b_0"))))
+        enough = enough & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+        across = one.join(two, "key").filter(enough).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+        links = links.union(verified(across, "2"))
         groups = connected_components(links, work, "groups-2")
 
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", "n_copies", F.coalesce("component", "cls").alias("component"))
