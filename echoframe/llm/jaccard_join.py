@@ -258,12 +258,12 @@ def _elements(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _peel(crowded: DataFrame, sets: DataFrame, work: Workspace, percent: int, rounds: int = 4) -> DataFrame:
-    """(key, cls, n, parity, own) of the crowded sets that can have a partner among themselves."""
-    left = work.table("peel-0", sets.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "parity", F.lit(0).cast("long").alias("own")))
+    """(key, cls, n, own) of the crowded sets that can have a partner among themselves."""
+    left = work.table("peel-0", sets.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", "n", F.lit(0).cast("long").alias("own")))
     for k in range(1, rounds + 1):
         alone = sets.join(left.select("cls"), "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "element long, cls long")
         alone = alone.groupBy("element").agg(F.count("*").alias("times"), F.min("cls").alias("cls")).filter("times = 1").groupBy("cls").agg(F.count("*").alias("more"))
-        met = left.join(alone, "cls", "left").select("cls", "n", "parity", F.coalesce("more", F.lit(0)).cast("long").alias("own"))
+        met = left.join(alone, "cls", "left").select("cls", "n", F.coalesce("more", F.lit(0)).cast("long").alias("own"))
         before, left = left, work.table(f"peel-{k}", met.filter((F.col("n") - F.col("own")) * 100 >= percent * F.col("n")))
         if left.count() == before.count():
             break
@@ -352,8 +352,9 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
     groups = connected_components(links, work, "groups-1")
     member = member.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    member = work.table("split", member.join(split, "key", "left_semi"))
+    member = work.table("split", member.join(split, "key", "left_semi").select("key", "cls", "n", "own", "component"))
     if not member.isEmpty():
+        member = member.join(sets.select("cls", "parity"), "cls")
         one, two = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "own", "component")), *(F.get("parity", F.lit(k)).alias(f"{x}_{k}") for k in range(_PARITY))) for x in "ab")
         common = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
         enough = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_component") != F.col("b_component")) & (common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
