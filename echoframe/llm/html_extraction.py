@@ -15,7 +15,7 @@ hash(page, count).  Fingerprints are combined in the task and then by (host,
 token) with map-side aggregation, so neither a host with a third of all pages
 nor its tokens are gathered anywhere.  Only classes that pass are listed by
 host; their number is bounded by the tokens of a page.  Pages meet their host's
-list in one join, whose large side Spark may split.
+list in one join on (host, salt).
 """
 
 from __future__ import annotations
@@ -209,6 +209,10 @@ def deduce_templates(pages: DataFrame, *, least_pages: int = 5, share: float = 0
     return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
 
 
+#: Parts in which the pages of a host meet its template, so that a large host is not one task.
+_SALTS = 16
+
+
 def extract_text(pages: DataFrame, **options) -> DataFrame:
     """The main text of every row of ``pages`` (page_id, url, html).
 
@@ -225,4 +229,6 @@ def extract_text(pages: DataFrame, **options) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select("page_id", "url", "html", host.alias("host"))
     templates = deduce_templates(source, **options)
-    return source.join(templates, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, template_tags long")
+    templates = templates.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
+    return salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, template_tags long")
