@@ -299,7 +299,7 @@ SELECT id, CAST(n0 + k AS BIGINT) AS n, CASE WHEN k = 0 THEN x ELSE (1 - k / m)
 def _(spark, d):
     k = F.col("o_orderkey")
     row = F.floor(k / 20)
-    t = r.table(spark, d, "orders").filter((row % 7 != 3) & (k < 10000)).select((k % 20).alias("id"), k.alias("p"), (row * 2.0).alias("x"), (row * 1.0).alias("y"), F.lit(0.0).alias("z"))
+    t = r.table(spark, d, "orders").filter(row % 7 != 3).select((k % 20).alias("id"), k.alias("p"), (row * 2.0).alias("x"), (row * 1.0).alias("y"), F.lit(0.0).alias("z"))
     return r.rounded(geometry.fill_gaps(t))
 
 
@@ -321,9 +321,9 @@ hist AS (SELECT p, k, sum(amp * cos(2 * pi() * (c - round(c)))) AS re, sum(amp *
 
 def _small(spark, d):
     k = F.col("p_partkey")
-    s = r.table(spark, d, "part").filter("p_partkey < 200").select(((k % 40 - 20) * 0.4).alias("x"), ((F.floor(k / 40) % 40 - 20) * 0.4).alias("y"), F.lit(0.0).alias("z"), (F.col("p_retailprice") / 1000).alias("amp"))
+    s = r.table(spark, d, "part").select(((k % 40 - 20) * 0.4).alias("x"), ((F.floor(k / 40) % 40 - 20) * 0.4).alias("y"), F.lit(0.0).alias("z"), (F.col("p_retailprice") / 1000).alias("amp"))
     p = F.col("s_suppkey")
-    a = r.table(spark, d, "supplier").filter("s_suppkey < 10").select(p.alias("p"), F.lit(-8660.254).alias("ax"), ((p - 4.5) * 2.5).alias("ay"), F.lit(5000.0).alias("az"))
+    a = r.table(spark, d, "supplier").select(p.alias("p"), F.lit(-8660.254).alias("ax"), ((p - 4.5) * 2.5).alias("ay"), F.lit(5000.0).alias("az"))
     return s, a
 
 

@@ -84,7 +84,7 @@ def _(spark, d):
 @query("line_resampling")
 def _(spark, d):
     """Lines read at places a fraction of their number further; Kaiser-weighted sinc taps, so no SQL twin."""
-    return _pixels(lines.resample(_lines(spark, d), lambda k: np.arange(32) + k % 10 / 10))
+    return _pixels(lines.resample(lines.to_lines(r.scene(spark, d)), lambda k: np.arange(32) + k % 10 / 10))
 
 
 @query("range_profiles_image")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of each half of the scene that make a pair of images.
+#: Rows of each half of the scene in the SQL twins, as in a table of 500 embeddings.
 HALF = 250
 
 
@@ -21,11 +21,12 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two images (i, j, ar, ai, br, bi): the first rows of the scene and those after them."""
-    both = scene(spark, sf_dir).filter(F.col("i") < 2 * HALF)
-    a = F.when(F.col("i") < HALF, F.struct("re", "im"))
-    b = F.when(F.col("i") >= HALF, F.struct("re", "im"))
-    met = both.groupBy((F.col("i") % HALF).alias("i"), "j").agg(F.max(a).alias("a"), F.max(b).alias("b"))
+    """Two images (i, j, ar, ai, br, bi): the two halves of the scene; an odd last row has no partner and stays out."""
+    half = table(spark, sf_dir, "embeddings").agg(F.expr("(max(vec_id) + 1) div 2").alias("half"))
+    both = scene(spark, sf_dir).crossJoin(F.broadcast(half)).filter(F.col("i") < 2 * F.col("half"))  # a single row
+    a = F.when(F.col("i") < F.col("half"), F.struct("re", "im"))
+    b = F.when(F.col("i") >= F.col("half"), F.struct("re", "im"))
+    met = both.groupBy((F.col("i") % F.col("half")).alias("i"), "j").agg(F.max(a).alias("a"), F.max(b).alias("b"))
     return met.select("i", "j", F.col("a.re").alias("ar"), F.col("a.im").alias("ai"), F.col("b.re").alias("br"), F.col("b.im").alias("bi"))
 
 
