@@ -31,6 +31,8 @@ from .store import Workspace
 
 #: Statistic vector: name, and the least standard deviation that it is taken to have.
 FEATURES = {"log_words": 0.25, "log_word_length": 0.05, "symbols": 0.04, "dup_lines": 0.1, "repeats": 0.1, "capitals": 0.05, "marks": 0.05}
+#: Normal quantile of one text in a million: by chi-square, squared distances of ordinary texts lie above its quantile that rarely.
+LEAST_Z = 4.753
 _SPACES = b" \t\n\x0b\x0c\r"
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "#*$%&|<>.,")
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_lines")
@@ -138,17 +140,21 @@ def covariance_distances(rows: DataFrame, work: Workspace, *, features: dict[str
     return measured.join(scale, "group").withColumn("distance2", F.col("d") / F.greatest("scale", F.lit(1.0))).drop("mean", "precision", "d", "scale")
 
 
-def apply_rules(docs: DataFrame, *, cutoff: float = 80.0, least_rows: int = 200, least_words: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, *, cutoff: float | None = None, least_rows: int = 200, least_words: int = 50) -> DataFrame:
     """Judge every row of ``docs`` (doc_id, text, lang, source).
 
     Results: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
     and distance2 (null where no verdict was needed or possible).
 
+    ``cutoff``: the greatest squared distance that is kept; the chi-square quantile at ``LEAST_Z`` by
+    default.
+
     Null and blank texts have no words and fail the base rules.  A null lang or source is a value of
     its own.  Repeated rows count and are judged each.  If even all pooled rows are fewer than
     ``least_rows``, the base rules decide alone.  Other columns are ignored.  An empty table gives
     no rows.
     """
+    cutoff = chi_square(len(FEATURES), LEAST_Z) if cutoff is None else cutoff
     work = Workspace(docs.sparkSession, "rules")
     counted = docs.select(F.col("doc_id").cast("long"), "lang", "source", "text").mapInArrow(_statistics, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COLUMNS))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

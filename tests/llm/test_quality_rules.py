@@ -81,3 +81,14 @@ def test_edges(spark):
     out = sorted(((str(r.doc_id), r.base_failed, r.kept) for r in q.apply_rules(docs).collect()))
     assert out == [("1", True, False), ("2", True, False), ("3", True, False), ("3", True, False), ("None", False, True)]
     assert q.apply_rules(docs.limit(0)).count() == 0
+
+
+def test_labelled_junk_goes_and_clean_text_stays(spark):
+    """Texts of words between bars lie nearer than other junk; all labelled junk that passes the base rules is found."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
+    rows = q.apply_rules(spark.read.parquet(f"{d}/documents.parquet")).filter("not base_failed").join(labels, "doc_id").collect()
+    junk = [r.kept for r in rows if r.quality == 0]
+    clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    assert len(junk) > 100 and sum(junk) == 0
+    assert len(clean) > 1000 and sum(clean) >= 0.99 * len(clean)
