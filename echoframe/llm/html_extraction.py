@@ -44,7 +44,20 @@ _REGION = re.compile(
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+
+
+def _mark(value: str, article: bool) -> int:
+    """2 if a whole token of a class, id or role names a region, 1 if a word of a compound token does, else 0.
+    A header inside an article is no region."""
+    if not _REGION.search(value):
+        return 0
+    found = 0
+    for token in value.split():
+        for word in re.split("[_-]", token):
+            if _REGION.search(word) and not (article and word.lower() == "header"):
+                found = max(found, 2 if word == token else 1)
+    return found
 
 
 class Block:
@@ -58,7 +71,7 @@ class Block:
 
 def parse(page: str) -> tuple[list[Block], Counter]:
     """The text blocks of a page in order, and its tag tokens (path with names) counted."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, in an article, in a dropped region
+    stack: list[tuple[str, str, bool, int]] = []  # name, path, in an article, in a dropped region (1: by a compound mark alone)
     blocks: list[Block] = []
     tags: Counter = Counter()
     text: list[str] = []
@@ -68,9 +81,9 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         nonlocal outside_links
         joined = " ".join("".join(text).split())
         if joined:
-            _, path, article, dropped = next((s for s in reversed(stack) if s[0] in _BLOCK), ("", "", False, False))
+            _, path, article, dropped = next((s for s in reversed(stack) if s[0] in _BLOCK), ("", "", False, 0))
             dropped = dropped or bool(stack) and stack[-1][3]
-            blocks.append(Block(path, joined, article, dropped, not outside_links))
+            blocks.append(Block(path, joined, article, bool(dropped), not outside_links))
         text.clear()
         outside_links = False
 
@@ -122,7 +135,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             if name in _CLOSES:
                 close(_CLOSES[name], {"table", "ul", "ol", "dl"} if name != "option" else {"select"})
         attributes = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(m[3] or "")}
-        _, path, article, dropped = stack[-1] if stack else ("", "", False, False)
+        _, path, article, dropped = stack[-1] if stack else ("", "", False, 0)
         label = name + ("." + attributes["class"] if attributes.get("class") else "") + ("#" + attributes["id"] if attributes.get("id") else "")
         path = f"{path}/{label}"
         tags[path] += 1
@@ -130,8 +143,13 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             text.append(" ")
         if name in _VOID or (m[3] or "").endswith("/") and name not in _BLOCK:
             continue
-        marked = name not in ("html", "body", "article", "main") and (any(_REGION.search(attributes.get(a, "")) for a in ("class", "id", "role")) or "hidden" in attributes or attributes.get("aria-hidden") == "true")
-        dropped = dropped or name in _DROPPED or name in _RAW or marked or (name == "header" and not article)
+        if dropped == 1 and (name in ("article", "main") or attributes.get("role") == "main"):
+            dropped = 0  # "with-sidebar" around an article tells of the layout
+        if name in _DROPPED or name in _RAW or (name == "header" and not article):
+            dropped = 2
+        elif name not in ("html", "body", "article", "main"):
+            hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
+            dropped = max(dropped, 2 if hidden else 0, *(_mark(attributes.get(a, ""), article) for a in ("class", "id", "role")))
         article = article or name in ("article", "main") or attributes.get("role") == "main"
         stack.append((name, path, article, dropped))
         if name in _RAW:

@@ -56,3 +56,12 @@ def test_paths_keep_regions_apart():
     blocks, tags = parse("<body><div class='nav-x'><p>m</div><p>t</body>")
     assert [(b.text, b.dropped) for b in blocks] == [("t", False)]
     assert tags["/body/p"] == 1
+
+
+def test_layout_marks_and_quoted_words_drop_nothing():
+    kept = lambda page: [b.text for b in parse(page)[0] if not b.dropped]
+    assert kept('<body><div class="with-sidebar"><article><p>t</article></div>') == ["t"]
+    assert kept('<body><div class="page no-sidebar"><main><p>t</main></div>') == ["t"]
+    assert kept('<article><header class="entry-header"><h1>T</h1></header><div class="post-header"><h2>U</h2></div><p>t</article>') == ["T", "U", "t"]
+    assert kept('<body><p title="the hidden gem">a</p><p data-x=\'id="nav"\'>b</p>') == ["a", "b"]
+    assert kept('<body><div id=comments><article><p>c</article></div><div hidden><article>d</article></div><div class="x header"><p>e</div><p>t') == ["t"]
