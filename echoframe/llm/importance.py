@@ -1,22 +1,22 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words and word pairs) are estimated:
-one of target text (labelled good and not toxic), one of raw text (all
-documents).  A document's log weight is the sum over its n-grams of the log
-ratio of the two, and documents are drawn without replacement by Gumbel top-k:
-the k largest of tempered log weight + temperature * Gumbel noise.
-
-Both models get the same pseudo-counts at the target's sample size, and an
-n-gram weighs nothing unless its counts in the two differ by ``least_sigma``
-standard deviations: chance differences of rare n-grams would swamp long texts.
-The ratio is centred on its count-weighted median, and the sum is tempered by
-the square root of the number of words, so that length alone neither helps nor
-harms.  Labelled documents are scored without their own counts, as if they had
-no label.
-
-k follows from ``recall``: it is the number of documents whose key is at least
-the (1 - recall) quantile of the keys of labelled target documents.  Or k is
-given, and an exact selection by key bits finds the cut.
+Two generative models over hashed n-grams are estimated: one of target text
+(labelled good and not toxic), one of raw text (all documents).  n-grams are
+words, signs and their pairs; a word that follows itself is a pair of its own,
+by the length of the run.  A document's log weight is the sum over its n-grams
+of the log ratio of the two, and documents are drawn without replacement by
+Gumbel top-k: the k largest of log weight + standard Gumbel noise.
+
+An n-gram's chance is the share of documents that hold it, so a text that says
+one thing often is one witness.  Chance differences of rare n-grams would swamp
+long texts; so a log ratio shrinks by 1 - shrink / z^2 (positive-part
+James-Stein), where z is the difference of the two models in standard
+deviations, and the sum over a text of n words is divided by sqrt(n / 100) if it
+has over 100.  A document is weighed without its own counts in either model, so
+labelled and other documents are treated alike.
+
+k is a parameter, or follows from ``recall``: the number of documents whose key
+is at least the (1 - recall) quantile of the keys of labelled target documents.
 
 Spark plan
 ----------
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import U, chain, distinct, lower_utf8, mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
+from .packing import BY_SIGNS, U, chain, distinct, lower_utf8, mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
 from .store import Workspace
 
 _PARTS = 16
@@ -43,9 +43,15 @@ _KINDS = ("words", "pairs")
 
 
 def grams(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash cells of the words and of the word pairs of a text."""
-    h, _ = word_hashes(lower_utf8(text))
+    """Hash cells of the words and of the pairs of a text; where a word follows itself, the pair is the
+    length of the run so far in powers of two, up to 8, whatever the word."""
+    h, _ = word_hashes(lower_utf8(text), BY_SIGNS)
     pairs = chain(h[:-1], h[1:]) if len(h) > 1 else h[:0]
+    if len(pairs):
+        at = np.arange(len(pairs))
+        run = at - np.maximum.accumulate(np.where(h[1:] != h[:-1], at, -1))
+        again = mix(np.minimum(np.log2(np.maximum(run, 1)), 3).astype(U) + U(1))
+        pairs = np.where(run > 0, again, pairs)
     return (h >> U(64 - bits)).astype(np.int64), (pairs >> U(64 - bits)).astype(np.int64)
 
 
@@ -79,10 +85,10 @@ def _count(shared, bits: int):
             for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True):
                 good = labels.of(doc_id)
                 for k, cells in enumerate(grams(text.as_py(), bits)):
-                    cell, n = distinct(cells)
-                    raw[k][cell] += n
+                    cell, _ = distinct(cells)
+                    raw[k][cell] += 1
                     if good:
-                        target[k][cell] += n
+                        target[k][cell] += 1
         step = size // _PARTS
         for k in range(len(_KINDS)):
             for part in range(_PARTS):
@@ -108,29 +114,29 @@ def _sum_counts(bits: int):
 
 
 class Model:
-    """Counts of one kind of n-gram, and the log ratios they give."""
-
-    def __init__(self, raw: np.ndarray, target: np.ndarray, pseudo: float, least_sigma: float = 3.0):
-        self.raw, self.target, self.pseudo, self.least_sigma = raw.astype(np.float32), target.astype(np.float32), pseudo, least_sigma
-        some = raw > 0
-        share = target[some] / raw[some]
-        order = np.argsort(share)
-        weight = np.cumsum(raw[some][order])
-        self.share = float(share[order][np.searchsorted(weight, weight[-1] / 2)]) if len(weight) else 0.0
-        self.share = self.share or float(target.sum()) / max(1.0, float(raw.sum()))
-        self.ratios = self.ratio(self.target, self.raw).astype(np.float32)
+    """Documents with each n-gram of one kind, and the log ratios they give."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray, share: float, pseudo: float, shrink: float):
+        self.raw, self.target, self.share, self.pseudo, self.shrink = raw.astype(np.float32), target.astype(np.float32), share, pseudo, shrink
 
     def ratio(self, target: np.ndarray, raw: np.ndarray) -> np.ndarray:
         mean = self.share * raw
-        sigma = np.abs(target - mean) / np.sqrt(mean * (1 - min(self.share, 0.99)) + 1)
-        return np.where(sigma >= self.least_sigma, np.log((target + self.pseudo) / (mean + self.pseudo)), 0)
+        z2 = np.square(target - mean) / (mean * (1 - min(self.share, 0.9)) + 1)
+        return np.maximum(0, 1 - self.shrink / np.maximum(z2, 1e-9)) * np.log((target + self.pseudo) / (mean + self.pseudo))
 
-    def weight(self, cells: np.ndarray, own: bool) -> float:
-        """The log weight of a document; ``own``: its counts are in the target's and are left out."""
-        if not own:
-            return float(self.ratios[cells].sum(dtype=np.float64))
+    def weight(self, cells: np.ndarray, good: bool) -> float:
+        """The log weight of a document, without its own counts in the models."""
         cell, n = distinct(cells)
-        return float((n * self.ratio(self.target[cell] - n, self.raw[cell] - n)).sum())
+        return float((n * self.ratio(self.target[cell] - good, self.raw[cell] - 1)).sum())
+
+
+def usual_share(raw: np.ndarray, target: np.ndarray) -> float:
+    """The target's share of the documents with a word: the median over all of them, which neither junk nor rare words move."""
+    some = raw > 0
+    share = target[some] / raw[some]
+    order = np.argsort(share)
+    weight = np.cumsum(raw[some][order])
+    return (float(share[order][np.searchsorted(weight, weight[-1] / 2)]) if len(weight) else 0.0) or float(target.sum()) / max(1.0, float(raw.sum()))
 
 
 def gumbel(doc_id: np.ndarray, seed: int) -> np.ndarray:
@@ -143,11 +149,11 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("label", pa.bool_()), ("log_weight
 
 
 def _weigh(models: list[Model], cells: tuple[np.ndarray, np.ndarray], own: bool) -> float:
-    """The tempered log weight: the sum over both kinds of n-gram, over the square root of the words."""
-    return sum(m.weight(c, own) for m, c in zip(models, cells, strict=True)) / max(1.0, len(cells[0])) ** 0.5
+    """The log weight: the sum over both kinds of n-gram, tempered beyond 100 words."""
+    return sum(m.weight(c, own) for m, c in zip(models, cells, strict=True)) / max(1.0, len(cells[0]) / 100) ** 0.5
 
 
-def _score(shared_labels, shared_models, bits: int, temperature: float, seed: int):
+def _score(shared_labels, shared_models, bits: int, seed: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, models = shared_labels.value, shared_models.value
         for table in tables:
@@ -155,7 +161,7 @@ def _score(shared_labels, shared_models, bits: int, temperature: float, seed: in
             good = [labels.of(i) for i in ids]
             weights = np.array([_weigh(models, grams(t.as_py(), bits), bool(own)) for own, t in zip(good, table.column("text"), strict=True)], np.float64)
             noise = gumbel(np.array([-1 if i is None else i for i in ids], np.int64), seed)
-            scored = [pa.array(ids, pa.int64()), pa.array(good, pa.bool_()), pa.array(weights), pa.array(weights + temperature * noise)]
+            scored = [pa.array(ids, pa.int64()), pa.array(good, pa.bool_()), pa.array(weights), pa.array(weights + noise)]
             extra = [n for n in table.schema.names if n not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays([*scored, *(table.column(n) for n in extra)], names=[*_SCORED.names, *extra])
 
@@ -165,9 +171,9 @@ def _score(shared_labels, shared_models, bits: int, temperature: float, seed: in
 class Resampler:
     """Importance weights of documents against ``labels`` (doc_id, quality, toxic)."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, *, bits: int = 20, pseudo: tuple[float, float] = (1.0, 10.0), least_sigma: float = 3.0, temperature: float = 0.02, seed: int = 17, most_labels: int = 50_000):
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, bits: int = 20, pseudo: float = 0.5, shrink: float = 4.0, seed: int = 17, most_labels: int = 50_000):
         spark = docs.sparkSession
-        self.bits, self.temperature, self.seed = bits, temperature, seed
+        self.bits, self.seed = bits, seed
         sample = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"), F.max("toxic").alias("toxic"))
         got = sample.select("doc_id", (F.col("good") & (F.col("toxic") == 0)).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).toPandas()
         self.labels = spark.sparkContext.broadcast(Labels(got["doc_id"].to_numpy(np.int64), got["target"].to_numpy(bool)))
@@ -177,13 +183,19 @@ class Resampler:
         for r in some.groupBy("kind", "part").applyInArrow(_sum_counts(bits), _COUNTS_SQL).collect():  # 32 blobs of fixed length
             at = unpack_sorted(r.cells).astype(np.int64)
             total[0, r.kind, at], total[1, r.kind, at] = unpack(r.raw), unpack(r.target)
-        self.models = spark.sparkContext.broadcast([Model(total[0, k], total[1, k], p, least_sigma) for k, p in enumerate(pseudo)])
+        share = usual_share(total[0, 0], total[1, 0])
+        self.models = spark.sparkContext.broadcast([Model(total[0, k], total[1, k], share, pseudo, shrink) for k in range(len(_KINDS))])
+
+    def release(self) -> None:
+        """Frees the models on the executors; call it when what score() returned was written."""
+        self.labels.destroy()
+        self.models.destroy()
 
     def score(self, docs: DataFrame, *extra: str) -> DataFrame:
         """doc_id, label (in the sample: target or not), log_weight, key, and ``extra`` columns."""
         source = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(f"`{e}`") for e in extra))
         schema = ", ".join(["doc_id long, label boolean, log_weight double, key double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])])
-        return source.mapInArrow(_score(self.labels, self.models, self.bits, self.temperature, self.seed), schema)
+        return source.mapInArrow(_score(self.labels, self.models, self.bits, self.seed), schema)
 
 
 def kth_key(keys: DataFrame, k: int, cells: int = 4096) -> float:
@@ -218,7 +230,9 @@ def resample(docs: DataFrame, labels: DataFrame, *, recall: float = 0.985, k: in
     no rows.
     """
     work = Workspace(docs.sparkSession, "resample")
-    scored = work.table("scored", Resampler(docs, labels, **options).score(docs))
+    sampler = Resampler(docs, labels, **options)
+    scored = work.table("scored", sampler.score(docs))
+    sampler.release()
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= F.lit(_cut(scored, recall, k))).alias("selected"))
 
 

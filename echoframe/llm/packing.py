@@ -20,6 +20,10 @@ _SPAN = 1 << 20
 #: Bytes that end a word: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Kinds of bytes: 0 ends a word, a change between other kinds starts the next one.
+BY_SPACE = np.where(_SPACE, 0, 1).astype(np.int8)
+#: Letters, digits and non-ASCII characters apart from runs of other signs.
+BY_SIGNS = np.array([0 if _SPACE[b] else 1 if b >= 0x80 or chr(b).isalnum() or b == 0x5F else 2 for b in range(256)], np.int8)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -51,8 +55,8 @@ def chain(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of ``text`` (already lower case).
+def word_hashes(text: bytes, kinds: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start offsets of the words of ``text`` (already lower case): runs of bytes of one of ``kinds``.
 
     The hash of a word is a polynomial of its bytes modulo 2^64, taken from
     prefix sums, then mixed.  Long texts are cut at white space so that memory
@@ -71,10 +75,10 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
                 step *= 8
             end = end + int(found[0]) if len(found) else len(text)
         a = np.frombuffer(text, np.uint8, count=min(end, len(text)) - at, offset=at)
-        inside = np.zeros(len(a) + 2, np.int8)
-        np.logical_not(_SPACE[a], out=inside[1:-1].view(bool))
-        edges = np.diff(inside)
-        s, e = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        kind = np.zeros(len(a) + 2, np.int8)
+        np.take(kinds, a, out=kind[1:-1])
+        turn = kind[1:] != kind[:-1]
+        s, e = np.flatnonzero(turn & (kind[1:] > 0)), np.flatnonzero(turn & (kind[:-1] > 0))
         if len(s):
             p, q = _powers(len(a) + 1)
             with np.errstate(over="ignore"):

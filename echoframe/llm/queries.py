@@ -134,13 +134,30 @@ WITH l AS (
 ), b AS (
   SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines, count(*) FILTER (n > 0) AS filled, sum(n) AS words FROM k GROUP BY doc_id, no
 ), f AS (
-  SELECT *, (filled >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS gone FROM b
+  SELECT doc_id, no, (filled >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS gone FROM b
+), q AS (
+  SELECT doc_id, i, line, n, lag(line) OVER w AS before, lag(n) OVER w AS n_before FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY before, line ORDER BY doc_id, i) > 1 AS later FROM q WHERE i > 0
+), u AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s WHERE later
+), p AS (
+  SELECT doc_id, min(i) - 1 AS a, max(i) AS z FROM u GROUP BY doc_id, run HAVING sum(n) + min_by(n_before, i) >= 50
+), v AS (
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM p
+), x AS (
+  SELECT k.doc_id, k.i, k.line, f.gone OR v.i IS NOT NULL AS gone FROM k JOIN f USING (doc_id, no) LEFT JOIN v ON v.doc_id = k.doc_id AND v.i = k.i
 ), t AS (
-  SELECT doc_id, string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS removed_chunks, sum(lines) FILTER (gone) AS removed_lines FROM f GROUP BY doc_id
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS removed_lines FROM x GROUP BY doc_id
+), y AS (
+  SELECT doc_id, count(*) FILTER (gone) AS removed_chunks FROM f GROUP BY doc_id
+), z AS (
+  SELECT doc_id, count(*) AS removed_passages FROM p GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
-  CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines
-FROM documents d LEFT JOIN t USING (doc_id)
+  CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks, CAST(coalesce(removed_passages, 0) AS BIGINT) AS removed_passages,
+  CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 _OP8_SQL = f"""
