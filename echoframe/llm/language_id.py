@@ -3,15 +3,16 @@
 Every language has a distribution over hashed character trigrams.  A document
 is a mixture: expectation-maximisation estimates the proportions of its
 languages from the trigram likelihoods.  The set of languages is chosen by
-penalised likelihood among the nested sets that follow from the proportions:
-each further language must raise the log likelihood by more than the penalty.
-The prediction is the largest proportion in that set.
+penalised likelihood among all nested sets that follow from the proportions of
+all learned languages: a further language must raise the log likelihood by more
+than the penalty.  The prediction is the largest proportion in that set.
 
 Spark plan
 ----------
 Training sums trigram counts per (language, cell) with one exchange after
-in-task aggregation; the model has languages x cells numbers, whatever the
-corpus, and is checked against ``most_model_bytes`` before it is broadcast.
+in-task aggregation, and packs them into one array for each language; the model
+has languages x cells numbers, whatever the corpus, and is checked against
+``most_model_bytes`` before it is fetched and broadcast.
 Prediction is one narrow pass over whole texts.
 """
 
@@ -68,6 +69,12 @@ def _train(bits: int):
     return run
 
 
+def _blobs(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in tables:
+        blobs = [[np.asarray(x.values, kind).tobytes() for x in table.column(name)] for name, kind in (("at", np.int32), ("n", np.int64))]
+        yield pa.RecordBatch.from_arrays([table.column("lang"), *(pa.array(b, pa.binary()) for b in blobs)], names=["lang", "at", "n"])
+
+
 class Mixture:
     """Trigram log likelihoods of the languages, [cell, language]."""
 
@@ -88,24 +95,23 @@ class Mixture:
                 break
         return weights, float(n @ np.log(p @ weights))
 
-    def infer(self, cells: np.ndarray, penalty: float, candidates: int = 8) -> list[tuple[str, float]]:
+    def infer(self, cells: np.ndarray, penalty: float) -> list[tuple[str, float]]:
         """The chosen languages with their proportions, largest first."""
         if not len(cells) or not self.names:
             return []
         counts = np.bincount(cells)
         at = np.flatnonzero(counts)
         n, p = counts[at].astype(np.float64), self.likelihood[at]
-        alone = n @ np.log(p)
-        some = np.argsort(-alone, kind="stable")[:candidates]
-        weights, _ = self.proportions(p[:, some], n)
-        order = some[np.argsort(-weights, kind="stable")]
+        weights, _ = self.proportions(p, n)
+        order = np.argsort(-weights, kind="stable")
         best, chosen = -np.inf, None
         for size in range(1, len(order) + 1):
             got, likelihood = self.proportions(p[:, order[:size]], n)
             value = likelihood - penalty * size * np.log(n.sum() + 1)
-            if value <= best:
-                break
-            best, chosen = value, (order[:size], got)
+            if value > best:
+                best, chosen = value, (order[:size], got)
+            elif penalty * (size + 1) * np.log(n.sum() + 1) >= -best:
+                break  # a log likelihood is at most 0, so no larger set can do better
         names, got = chosen
         rank = sorted(range(len(names)), key=lambda k: (-got[k], self.names[names[k]]))
         return [(self.names[names[k]], float(got[k])) for k in rank]
@@ -146,13 +152,14 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, bits: int = 15,
     """
     spark = docs.sparkSession
     rows = training.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_train(bits), "lang string, cell int, n long")
-    counts = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
     names = sorted(r[0] for r in training.filter("lang is not null and text is not null").select("lang").distinct().limit(1 + most_model_bytes // (8 << bits)).collect())
     if len(names) * (8 << bits) > most_model_bytes:
         raise ValueError(f"a model of more than {most_model_bytes} bytes; use fewer bits")
     table = np.zeros((len(names), 1 << bits))
     place = {x: k for k, x in enumerate(names)}
-    for r in counts.collect():  # at most languages x cells rows, as checked
-        table[place[r.lang], r.cell] = r.n
+    packed = counts.select("lang", F.col("cells.cell").alias("at"), F.col("cells.n").alias("n")).mapInArrow(_blobs, "lang string, at binary, n binary")
+    for r in packed.collect():  # a row for each language, languages x cells numbers at most, as checked
+        table[place[r.lang], np.frombuffer(r.at, np.int32)] = np.frombuffer(r.n, np.int64)
     shared = spark.sparkContext.broadcast(Mixture(names, table))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(shared, bits, penalty), "doc_id long, lang_pred string, score double, langs array<string>, proportions array<double>")

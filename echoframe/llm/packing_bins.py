@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,33 +37,45 @@ _CACHE_WORDS = 300_000
 _ENCODERS: dict[str, _Encoder] = {}
 
 
+def _bytes_by_sign() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 class _Encoder:
-    """Token ids as little-endian 32-bit bytes.
+    """Token ids as little-endian 32-bit bytes, those of the vocabulary's file with its added tokens.
 
     The pre-tokenizer never joins a space that stands before a non-space character to what
     precedes it.  So a text whose spaces all stand single, between two such characters, is the
-    concatenation of its space-separated parts, and the ids of a part can be kept.  Other texts
-    are encoded whole.
+    concatenation of its space-separated parts, and the ids of a part can be kept.  Other texts,
+    and those that hold an added token, are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
-        import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as file:
+            file = json.load(file)
+        self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        sign = _bytes_by_sign()
+        ranks = {bytes(sign[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in self.added}
+        self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if len(self.parts) > _CACHE_WORDS:
             self.parts.clear()
+        if any(t in text for t in self.added):
+            return self.whole(text)
         first, *rest = text.split(" ")
         known = self.parts
         out = [self.whole(first)]
@@ -93,7 +106,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, keep_ids: bool):
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for table in tables:
+        for number, table in enumerate(tables):
             rows: list[tuple] = []
             payload: list[bytes | None] = []
             for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True):
@@ -116,7 +129,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, keep_ids: bool):
             at = np.arange(len(ranked))
             nth = np.empty(len(ranked), np.int64)
             nth[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-            batch = int.from_bytes(os.urandom(8), "little") >> 1
+            batch = TaskContext.get().partitionId() << 32 | number  # alike whenever the task runs again
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=False)), pa.array([batch] * len(rows), pa.int64()), pa.array(nth), pa.array(payload, pa.binary())], schema=_PIECES)
 
     return run
@@ -200,12 +213,13 @@ def _place(slots: dict[int, np.ndarray]) -> Callable:
     return run
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with
     ``keep_ids``, ids (little-endian unsigned 32-bit).  Sequences have no gaps.  ``vocabulary`` is a
-    file of ranks, by name among the public tokenizers or by absolute path on every executor.
+    byte-level vocabulary, by name among the public tokenizers or by absolute path on every executor;
+    ids are those of tokenizers with add_special_tokens=False, so an added token's string is one id.
 
     A null text is empty: one piece, the end id.  A null doc_id stays null.  Repeated rows are packed
     each.  Other columns are ignored.  An empty table gives no rows.  A text is encoded in one task;

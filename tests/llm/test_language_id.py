@@ -58,3 +58,77 @@ def test_nothing_learned_and_empty_tables(spark, training):
     docs = spark.createDataFrame([(1, EN)], "doc_id long, text string")
     assert m.identify_languages(docs, training.limit(0)).first().lang_pred == "und"
     assert m.identify_languages(docs.limit(0), training).count() == 0
+
+
+def test_ten_languages_in_one_text(spark):
+    """No cap on languages: a text of ten in equal shares names ten."""
+    rng = np.random.default_rng(4)
+    alphabets = ["".join(chr(0x61 + 30 * k + j) for j in range(26)) for k in (0, *range(40, 49))]
+    speak = lambda k, n: " ".join("".join(rng.choice(list(alphabets[k].replace("\xd7", "a")), 5)) for _ in range(n))
+    training = spark.createDataFrame([(speak(k, 300), f"l{k}") for k in range(10)], "text string, lang string")
+    text = " ".join(speak(k, 60) for k in range(10))
+    got = m.identify_languages(spark.createDataFrame([(1, text)], "doc_id long, text string"), training).first()
+    assert sorted(got.langs) == [f"l{k}" for k in range(10)] and sum(got.proportions) == pytest.approx(1)
+
+
+def test_whole_query_by_brute_force(spark, sf_dir):
+    """The model, the mixtures and the choice of languages with dictionaries and plain loops."""
+    import math
+    from collections import Counter
+    from itertools import pairwise
+
+    from echoframe.llm.queries import op10_language_id
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:90]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        out = Counter()
+        padded = [c if c.isalpha() else " " for c in " " + (text or "").lower() + "  "]
+        squeezed = [padded[0]] + [b for a, b in pairwise(padded) if a != " " or b != " "]
+        for a, b, c in zip(squeezed, squeezed[1:], [*squeezed[2:], " "], strict=False):
+            if b != " ":
+                key = [ord(x) if x != " " else 0 for x in (a, b, c)]
+                out[int(m.mix(np.array([key[0] | key[1] << 21 | key[2] << 42], np.uint64))[0]) >> 49] += 1
+        return out
+
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    names, total = sorted(counts), {x: sum(c.values()) for x, c in counts.items()}
+
+    def em(cells, some):
+        w = dict.fromkeys(some, 1 / len(some))
+        p = {(x, g): (counts[x][g] + 0.5) / (total[x] + 0.5 * 32768) for x in some for g in cells}
+        for _ in range(25 if len(some) > 1 else 1):
+            new = dict.fromkeys(some, 0.0)
+            for g, n in cells.items():
+                mixed = sum(w[x] * p[x, g] for x in some)
+                for x in some:
+                    new[x] += w[x] * p[x, g] * n / mixed / sum(cells.values())
+            done = max(abs(new[x] - w[x]) for x in some) < 1e-4
+            w = new
+            if done:
+                break
+        return w, sum(n * math.log(sum(w[x] * p[x, g] for x in some)) for g, n in cells.items())
+
+    class Frames:
+        read = None
+
+    frames = Frames()
+    frames.read = Frames()
+    frames.read.parquet = lambda path: docs
+    got = {r.doc_id: r for r in op10_language_id(frames, "any").collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        cells = grams(text)
+        if not cells:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        every, _ = em(cells, names)
+        order = sorted(names, key=lambda x: -every[x])
+        sets = [em(cells, order[:k]) for k in range(1, len(order) + 1)]
+        w, _ = max(sets, key=lambda s: s[1] - 4 * len(s[0]) * math.log(sum(cells.values()) + 1))
+        assert got[i].lang_pred == max(w, key=w.get) and got[i].score == pytest.approx(max(w.values()), abs=2e-3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)

@@ -40,7 +40,7 @@ def test_quality_keeps_whole_rows(steps, spark):
 
 
 def test_lines(steps):
-    want = {i: t for i, t, _ in deduped([(r["doc_id"], r["text"]) for r in steps[1]])}
+    want = {i: t for i, t, *_ in deduped([(r["doc_id"], r["text"]) for r in steps[1]])}
     assert {r["doc_id"]: r["text"] for r in steps[2]} == want
     assert all(r["n_chars"] == len(r["text"]) for r in steps[2])
 
@@ -60,7 +60,6 @@ def test_packing(steps):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in steps[4]}
     got = {}
     for r in steps[5]:

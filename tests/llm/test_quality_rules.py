@@ -45,15 +45,24 @@ def test_distances_match_numpy(spark):
     features = dict(zip(q.FEATURES, [0.01] * 7))
     got = np.array(sorted(r.distance2 for r in q.covariance_distances(rows, Workspace(spark, "t"), features=features).collect()))
     rank = lambda v, share: np.sort(v)[int(np.ceil(share * len(v))) - 1]
-    mean = np.array([rank(c, 0.5) for c in x.T])
-    sd = np.array([rank(abs(c - m), 0.5) for c, m in zip(x.T, mean)])
-    precision = np.diag(1 / ((1.4826 * sd) ** 2 + 1e-4))
-    for _ in range(4):
-        d = np.einsum("ni,ij,nj->n", x - mean, precision, x - mean)
-        inner = x[d <= rank(d, 0.75)]
-        mean = inner.mean(0)
-        precision = np.linalg.inv(np.cov(inner.T, bias=True) + np.eye(7) * 1e-4)
-    d = np.einsum("ni,ij,nj->n", x - mean, precision, x - mean)
+    middle = np.array([rank(c, 0.5) for c in x.T])
+    spread = np.array([(1.4826 * rank(abs(c - m), 0.5)) ** 2 for c, m in zip(x.T, middle)])
+    u = (x - middle) / np.sqrt(spread + 1e-4)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    signs = 7 * (u.T @ u) / len(x) * np.sqrt(np.outer(spread, spread))
+    signs = (len(x) * signs + 30 * np.diag(spread)) / (len(x) + 30)
+    found = []
+    for start in (np.diag(spread), signs):
+        mean, cov, dets = middle, start + np.eye(7) * 1e-4, []
+        while len(dets) < 2 or len(dets) < 20 and dets[-2] - dets[-1] > 1e-3 or len(dets) < 3:
+            away = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+            inner = x[away <= rank(away, 0.75)]
+            mean = inner.mean(0)
+            cov = (len(inner) * np.cov(inner.T, bias=True) + 30 * np.diag(spread)) / (len(inner) + 30) + np.eye(7) * 1e-4
+            dets.append(np.linalg.slogdet(cov)[1])
+        found.append((dets[1], mean, cov))
+    _, mean, cov = min(found, key=lambda f: f[0])
+    d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
     d = np.sort(d / max(1, rank(d, 0.5) / q.chi_square(7, 0)))
     assert np.allclose(got, d, rtol=1e-6)
     assert (got[-60:] > 100).all() and (got[:-60] < 60).all()
@@ -71,8 +80,32 @@ def test_outliers_go_and_ordinary_text_stays(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, x int")
     out = {r.doc_id: r.kept for r in q.apply_rules(docs).collect()}
     assert [i for i in out if not out[i] and i % 30] == []
-    # row 0 lies in a pool of 20 rows, too few for a verdict
-    assert out[0] and sum(not out[i] for i in out if i % 30 == 0) == 29
+    assert sum(not out[i] for i in out if i % 30 == 0) == 30
+
+
+def test_small_groups_are_judged(spark):
+    """Groups of 50, and pools of smaller ones, by the same method; of fewer rows than features, by the base rules."""
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "to", "of"]) + str(rng.randrange(90)) for _ in range(rng.randint(60, 300)))
+    rows = [(i, text(), "en", f"s{i // 50}") for i in range(150)] + [(200 + i, text(), "de", f"t{i}") for i in range(20)] + [(300 + i, text(), "fr", "u") for i in range(4)]
+    odd = [0, 60, 149, 200, 219, 300]
+    rows = [(i, t.replace(" ", "## ").upper() if i in odd else t, *r) for i, t, *r in rows]
+    got = {r.doc_id: r for r in q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i in got if not got[i].kept} == {0, 60, 149, 200, 219}
+    assert all((got[i].distance2 is None) == (i >= 300) for i in got)
+
+
+def test_kept_by_brute_force(spark, sf_dir):
+    """The verdict of the whole query on the smallest tables, from plain statistics and numpy."""
+    from echoframe.llm.queries import op6_quality_rules
+
+    got = {r.doc_id: r for r in op6_quality_rules(spark, sf_dir).collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        assert r.kept == (not r.base_failed and (r.distance2 is None or r.distance2 <= q.chi_square(7, 4.753)))
+        assert r.n_words == len((docs[i].text or "").split())
+    assert sum(r.distance2 is not None for r in got.values()) > 150
 
 
 def test_edges(spark):
