@@ -1,21 +1,38 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a stream of tokens: tags with their path, and blocks of text with
-their path.  Tokens of a host whose occurrence vectors over its pages (how
-often on each page) are the same form an equivalence class; large classes on
-most pages are valid and nest into the host's template (after EXALG, Arasu and
-Garcia-Molina 2003).  What the template does not hold are slots; the main text
-is what fills the slots outside regions that a page marks as menu, header,
-footer, sidebar, notice, advert, form or comments.
+A page is a stream of tokens: opening tags with their path, and blocks of text
+with their path.  Tokens of a host whose occurrence vectors over its distinct
+pages (how often on each page) are the same form an equivalence class (after
+EXALG, Arasu and Garcia-Molina 2003).  A class is valid if it is large, lies on
+most pages, and is ordered and nested: on most pages its occurrences repeat one
+sequence, and the first of them stands in the same gap of the host's root class
+(the one on most pages with most tokens).  Root class and nested classes are the
+host's template.
+
+What the template does not hold fills its slots; a slot is named by the nearest
+template tag above.  The main text is what fills the slots, apart from
+
+* text tokens of valid classes, wherever they stand: a notice on every page goes
+  out of an article too, unless nothing would be left of the article;
+* slots outside articles that hold links for the most part, over all pages;
+* regions that a page marks as menu, header, footer, sidebar, notice, advert,
+  form or comments: content that changes from page to page like the text itself,
+  so that only its mark tells;
+* what stands outside the article, on a page that has one.
+
+Below ``least_pages`` distinct pages a host has no occurrence vectors that tell
+template from text; there marks decide, and list items of links alone go.
 
 Spark plan
 ----------
+Three narrow passes over whole pages; html is never exchanged while the copies
+of pages and the templates are within ``most_broadcast`` bytes as measured,
+beyond that pages meet them by (host, salt) with salts by the host's bytes.
 An occurrence vector is known by a fingerprint: the XOR over distinct pages of
-hash(page, count).  Fingerprints are combined in the task and then by (host,
-token) with map-side aggregation, so neither a host with a third of all pages
-nor its tokens are gathered anywhere.  Only classes that pass are listed by
-host; their number is bounded by the tokens of a page.  Pages meet their host's
-list in one join on (host, salt).
+hash(page, count).  Fingerprints, order counts and slot sizes are combined in
+the task and then with map-side aggregation, so neither a host with a third of
+all pages nor its tokens are gathered anywhere.  Only classes on most pages are
+listed by host; their number is bounded by the tokens of a page.
 """
 
 from __future__ import annotations
@@ -39,94 +56,163 @@ _BLOCK = set("address article aside blockquote body caption center dd details di
 _DROPPED = set("head nav footer aside form button select textarea iframe object svg math template dialog menu canvas audio video datalist".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"table", "ul", "ol", "dl", "html", "body", "article", "main", "section", "div", "td", "th"}
-_REGION = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disclaimer|disqus|footer|gdpr|header|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget|contentinfo|complementary|feedback|reviews?)(?:$|[\s_-])",
-    re.I,
+#: Elements whose class can mark a region inside an article; a paragraph or heading there is text whatever its class.
+_CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "span"}
+_REGION = set(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification notifications pager pagination popup promo promos promotion "
+    "replies respond sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets contentinfo complementary share sharing".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+#: Names of regions only where they are a whole class, id or role: as parts of other names they mean other things.
+_REGION_ALONE = {"alert", "feedback", "hidden", "recommended", "recommendations", "related", "reply", "review", "reviews", "search", "side"}
+#: First words of names that tell of the layout around a region.
+_LAYOUT = {"no", "with", "without", "has", "is", "overflow"}
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+")
+#: As deep as browsers nest elements; deeper ones count as part of the innermost.
+_DEPTH = 512
 
 
 def _mark(value: str, article: bool) -> int:
-    """2 if a whole token of a class, id or role names a region, 1 if a word of a compound token does, else 0.
-    A header inside an article is no region."""
-    if not _REGION.search(value):
-        return 0
+    """2 if a whole token of a class, id or role names a region, 1 if the first or last word of a compound token does, else 0.
+    Inside an article a header is no region."""
     found = 0
-    for token in value.split():
-        for word in re.split("[_-]", token):
-            if _REGION.search(word) and not (article and word.lower() == "header"):
-                found = max(found, 2 if word == token else 1)
+    for token in value.lower().split():
+        if token in _REGION or token in _REGION_ALONE:
+            found = max(found, 0 if article and token == "header" else 2)
+            continue
+        words = [w for w in re.split("[_-]+", token) if w]
+        if len(words) > 1 and words[0] not in _LAYOUT and any(w in _REGION and not (article and w == "header") for w in (words[0], words[-1])):
+            found = max(found, 1)
     return found
 
 
+def _hash(parent: int, token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), parent & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+class Node:
+    """An open element: its path as a hash, what encloses it, and the regions it lies in."""
+
+    __slots__ = ("name", "path", "parent", "block", "article", "dropped", "link", "item")
+
+    def __init__(self, name: str, parent: Node | None, path: int, article: bool, dropped: int):
+        self.name, self.parent, self.path, self.article, self.dropped = name, parent, path, article, dropped
+        self.block = self if name in _BLOCK or parent is None else parent.block
+        self.link = name == "a" or parent is not None and parent.link
+        self.item = name == "li" or parent is not None and parent.item
+
+
 class Block:
-    """A run of text between block tags: its path, text, whether it lies in an article and in a dropped region."""
+    """A run of text between block tags: the innermost block element, and how many of its characters are links."""
+
+    __slots__ = ("node", "text", "dropped", "links", "token")
+
+    def __init__(self, node: Node, text: str, dropped: bool, links: int):
+        self.node, self.text, self.dropped, self.links = node, text, dropped, links
+        self.token = _hash(node.path, f"\0{text}")
 
-    __slots__ = ("path", "text", "article", "dropped", "linked")
+    @property
+    def article(self) -> bool:
+        return self.node.article
 
-    def __init__(self, path: str, text: str, article: bool, dropped: bool, linked: bool):
-        self.path, self.text, self.article, self.dropped, self.linked = path, text, article, dropped, linked
 
+class Page:
+    """The text blocks of a page in order, and its tokens in order: paths of tags, and blocks."""
 
-def parse(page: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page in order, and its tag tokens (path with names) counted."""
-    stack: list[tuple[str, str, bool, int]] = []  # name, path, in an article, in a dropped region (1: by a compound mark alone)
-    blocks: list[Block] = []
-    tags: Counter = Counter()
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.tokens: list[int] = []
+        self.tags: set[int] = set()
+
+
+def parse(page: str) -> Page:
+    out, root = Page(), Node("", None, 0, False, 0)
+    stack, names = [root], Counter()  # open elements, and how many of each name
     text: list[str] = []
-    outside_links = False
+    links = 0
 
     def flush() -> None:
-        nonlocal outside_links
+        nonlocal links
         joined = " ".join("".join(text).split())
         if joined:
-            _, path, article, dropped = next((s for s in reversed(stack) if s[0] in _BLOCK), ("", "", False, 0))
-            dropped = dropped or bool(stack) and stack[-1][3]
-            blocks.append(Block(path, joined, article, bool(dropped), not outside_links))
+            block = Block(stack[-1].block, joined, bool(stack[-1].dropped), min(links, len(joined)))
+            out.blocks.append(block)
+            out.tokens.append(block.token)
         text.clear()
-        outside_links = False
-
-    def close(names: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+        links = 0
+
+    def shut(k: int) -> None:
+        for node in stack[k:]:
+            names[node.name] -= 1
+        del stack[k:]
+
+    def close(some: set[str], stop: set[str]) -> None:
+        if not any(names[n] > 0 for n in some):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in some:
                 flush()
-                del stack[k:]
+                shut(k)
                 return
-            if stack[k][0] in stop:
+            if stack[k].name in stop:
                 return
 
-    at = 0
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[:4] == "<!--" or piece[:2] in ("<!", "<?"):
-                if piece[:9] == "<![CDATA[":
-                    text.append(piece[9:-3])
-                continue
-            piece = entities.unescape(piece)
-            if not (stack and stack[-1][3]):
+    at, end = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            lt = end if lt < 0 else lt
+            piece, at = page[at:lt], lt
+            top = stack[-1]
+            if not top.dropped:
+                piece = entities.unescape(piece)
                 text.append(piece)
-                if not any(s[0] == "a" for s in stack) and piece.strip():
-                    outside_links = True
+                if top.link:
+                    links += len(piece)
+            continue
+        if page.startswith("<!--", at):
+            shut_at = page.find("-->", at + 4)
+            at = end if shut_at < 0 else shut_at + 3
             continue
-        name = name.lower()
-        if m[1]:
-            if name == "p" and not any(s[0] == "p" for s in stack):
+        if page.startswith("<![CDATA[", at):
+            shut_at = page.find("]]>", at)
+            if not stack[-1].dropped:
+                text.append(page[at + 9 : end if shut_at < 0 else shut_at])
+            at = end if shut_at < 0 else shut_at + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            shut_at = page.find(">", at)
+            at = end if shut_at < 0 else shut_at + 1
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            if not stack[-1].dropped:
+                text.append("<")
+            at += 1
+            continue
+        inside = _INSIDE.match(page, m.end()).end()
+        if inside < end and page[inside] in last:  # a quote without a partner
+            inside = page.find(">", inside)
+            inside = end if inside < 0 else inside
+        if inside >= end:
+            break  # the page ends within a tag
+        closing, name, rest, at = page[at + 1] == "/", m[1].lower(), page[m.end() : inside], inside + 1
+        if closing:
+            if name == "p" and not names["p"]:
                 flush()
             if name in _BLOCK:
                 close({name}, set())
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if stack[k][3] and (k == 0 or not stack[k - 1][3]):
+            elif names[name] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        if stack[k].dropped and not stack[k - 1].dropped:
                             text.append(" ")
+                        names[name] -= 1
                         del stack[k]
                         break
-                    if stack[k][0] in _BLOCK:
+                    if stack[k].name in _BLOCK:
                         break
             continue
         if name in _BLOCK:
@@ -134,119 +220,204 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             close({"p"}, _SCOPE)
             if name in _CLOSES:
                 close(_CLOSES[name], {"table", "ul", "ol", "dl"} if name != "option" else {"select"})
-        attributes = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(m[3] or "")}
-        _, path, article, dropped = stack[-1] if stack else ("", "", False, 0)
-        label = name + ("." + attributes["class"] if attributes.get("class") else "") + ("#" + attributes["id"] if attributes.get("id") else "")
-        path = f"{path}/{label}"
-        tags[path] += 1
+        attributes = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(rest)}
+        top = stack[-1]
+        path = _hash(top.path, name + ("." + attributes["class"] if attributes.get("class") else "") + ("#" + attributes["id"] if attributes.get("id") else ""))
+        out.tokens.append(path)
+        out.tags.add(path)
         if name in ("br", "hr"):
             text.append(" ")
-        if name in _VOID or (m[3] or "").endswith("/") and name not in _BLOCK:
+        if name in _VOID or rest.endswith("/") and name not in _BLOCK:
             continue
-        if dropped == 1 and (name in ("article", "main") or attributes.get("role") == "main"):
-            dropped = 0  # "with-sidebar" around an article tells of the layout
-        if name in _DROPPED or name in _RAW or (name == "header" and not article):
+        dropped, main = top.dropped, name in ("article", "main") or attributes.get("role") == "main"
+        if dropped == 1 and main:
+            dropped = 0  # a compound mark around an article tells of the layout
+        if name in _DROPPED or name in _RAW or (name == "header" and not top.article):
             dropped = 2
         elif name not in ("html", "body", "article", "main"):
-            hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
-            dropped = max(dropped, 2 if hidden else 0, *(_mark(attributes.get(a, ""), article) for a in ("class", "id", "role")))
-        article = article or name in ("article", "main") or attributes.get("role") == "main"
-        stack.append((name, path, article, dropped))
+            if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+                dropped = 2
+            if not top.article or name in _CONTAINER:
+                dropped = max(dropped, *(_mark(attributes.get(a, ""), top.article) for a in ("class", "id", "role")))
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = found.end() if found else end
+            continue
+        if len(stack) < _DEPTH:
+            stack.append(Node(name, top, path, top.article or main, dropped))
+            names[name] += 1
     flush()
-    return blocks, tags
+    return out
 
 
-def _key(kind: str, token: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\0{token}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-_FOUND = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("vector", pa.int64()), ("text", pa.bool_())])
+_VECTOR = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("vector", pa.int64())])
+_PAGE = _hash(0, "the page itself")
 
 
 def _tokens(flush_at: int = 200_000):
+    """Occurrence vectors of the tokens of distinct pages, as sums and XORs."""
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bool], list[int]] = {}
+        held: dict[tuple[str, int], list[int]] = {}
 
         def rows() -> pa.RecordBatch:
-            out = [(h, t, v[0], v[1] - (1 << 63), x) for (h, t, x), v in held.items()]
+            out = [(h, t, v[0], v[1] - (1 << 63)) for (h, t), v in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _VECTOR, strict=True)], schema=_VECTOR)
 
         for table in tables:
             for host, digest, page in zip(table.column("host").to_pylist(), table.column("digest").to_pylist(), table.column("html"), strict=True):
-                blocks, tags = parse(page.as_py() or "")
-                counts = Counter({(_key("tag", p), False): n for p, n in tags.items()})
-                counts.update((_key("text", f"{b.path}\0{b.text}"), True) for b in blocks if not b.article)
-                counts[_key("page", ""), False] += 1  # on every page: how many distinct pages the host has
-                for (token, text), n in counts.items():
-                    cell = held.setdefault((host, token, text), [0, 0])
+                counts = Counter(parse(page.as_py() or "").tokens)
+                counts[_PAGE] = 1  # on every page: how many distinct pages the host has
+                marks = {n: xxhash.xxh64_intdigest(f"{digest}:{n}") for n in set(counts.values())}
+                for token, n in counts.items():
+                    cell = held.setdefault((host, token), [0, 0])
                     cell[0] += 1
-                    cell[1] ^= xxhash.xxh64_intdigest(f"{digest}:{n}".encode())
-            if len(held) >= flush_at:
-                yield rows()
+                    cell[1] ^= marks[n]
+                if len(held) >= flush_at:
+                    yield rows()
         if held:
             yield rows()
 
     return run
 
 
+def sequence_of(occurrences: list[int], gap: int) -> int:
+    """One number for an ordered class on a page: the sequence that its occurrences repeat and the gap of the first; 0 if they repeat none."""
+    size = len(set(occurrences))
+    once = occurrences[:size]
+    if len(set(once)) < size or any(t != once[k % size] for k, t in enumerate(occurrences)):
+        return 0
+    return _hash(gap, " ".join(map(str, once))) or 1
+
+
+_SEEN = pa.schema([("host", pa.string()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+_ORDER, _SLOT = 0, 1
+
+
+def slot_of(node: Node, known: set[int]) -> int:
+    """The path of the nearest template tag that holds the node."""
+    while node.parent is not None and node.path not in known:
+        node = node.parent
+    return node.path
+
+
+def _arrange(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Order of the classes of each host on its pages, and text and links by slot."""
+    held: dict[tuple, list[int]] = {}
+    for table in tables:
+        for host, page, classes in zip(table.column("host").to_pylist(), table.column("html"), table.column("classes").to_pylist(), strict=True):
+            if not classes:
+                continue
+            parsed = parse(page.as_py() or "")
+            root = max(classes, key=lambda c: (c["pages"], len(c["members"]), c["class"]))["class"]
+            of = {t: c["class"] for c in classes for t in c["members"]}
+            found: dict[int, list[int]] = {}
+            gaps: dict[int, int] = {}
+            for token in parsed.tokens:
+                name = of.get(token)
+                if name is not None:
+                    gaps.setdefault(name, len(found.get(root, ())))
+                    found.setdefault(name, []).append(token)
+            for name, occurrences in found.items():
+                held.setdefault((host, _ORDER, name, sequence_of(occurrences, 0 if name == root else gaps[name])), [0, 0])[0] += 1
+            for block in parsed.blocks:
+                if not block.dropped and not block.article and block.token not in of:
+                    cell = held.setdefault((host, _SLOT, slot_of(block.node, of.keys()), 0), [0, 0])
+                    cell[0] += len(block.text)
+                    cell[1] += block.links
+    out = [(*k, *v) for k, v in held.items()]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
+
+
+def main_text(page: Page, template: set[int] | None, linked: set[int]) -> list[str]:
+    """The blocks that fill the main slots of a page."""
+    known = template or set()
+    slots = [b for b in page.blocks if not b.dropped]
+    if any(b.article for b in slots):
+        inside = [b for b in slots if b.article]
+        slots = [b for b in inside if b.token not in known] or inside
+    elif template is not None:
+        slots = [b for b in slots if b.token not in known and slot_of(b.node, known) not in linked]
+    else:
+        slots = [b for b in slots if not (b.links == len(b.text) and b.node.item)]
+    return [b.text for b in slots]
+
+
 def _extract(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in tables:
         texts, fixed = [], []
-        for page, template in zip(table.column("html"), table.column("template").to_pylist(), strict=True):
-            blocks, tags = parse(page.as_py() or "")
-            known = set(template or ())
-            slots = [b for b in blocks if not b.dropped and (b.article or _key("text", f"{b.path}\0{b.text}") not in known)]
-            if any(b.article for b in slots):
-                slots = [b for b in slots if b.article]
-            else:
-                slots = [b for b in slots if not (b.linked and "/li" in b.path)]
-            texts.append("\n".join(b.text for b in slots))
-            fixed.append(sum(n for p, n in tags.items() if _key("tag", p) in known))
-        keep = [n for n in table.schema.names if n not in ("html", "template")]
+        for page, template, linked in zip(table.column("html"), table.column("template").to_pylist(), table.column("linked").to_pylist(), strict=True):
+            parsed, known = parse(page.as_py() or ""), None if template is None else set(template)
+            texts.append("\n".join(main_text(parsed, known, set(linked or ()))))
+            fixed.append(sum(t in parsed.tags and t in (known or ()) for t in parsed.tokens))
+        keep = [n for n in table.schema.names if n not in ("html", "template", "linked")]
         yield pa.RecordBatch.from_arrays([*(table.column(n) for n in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fixed, pa.int64())], names=[*keep, "text", "n_chars", "template_tags"])
 
 
-def deduce_templates(pages: DataFrame, *, least_pages: int = 5, share: float = 0.8, least_class: int = 2) -> DataFrame:
-    """(host, template): the tokens of each host's valid equivalence classes, from ``pages`` (host, html).
+def _by_host(pages: DataFrame, lists: DataFrame, most_broadcast: int, how: str = "left") -> DataFrame:
+    """``pages`` with the one row of ``lists`` for their host; lists are broadcast or met by (host, salt), as measured."""
+    size = [F.size(c) for c, t in lists.dtypes if t.startswith("array<bigint")] + [F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["members"]) + 4) for c, t in lists.dtypes if t.startswith("array<struct")]
+    if (lists.agg(F.sum(8 * sum(size, F.lit(8)))).first()[0] or 0) <= most_broadcast:
+        return pages.join(F.broadcast(lists), "host", how)
+    salts = pages.groupBy("host").agg((1 + F.sum(F.octet_length("html")) / (64 << 20)).cast("int").alias("salts"))
+    many = Workspace(pages.sparkSession, "pages").table("salts", salts.filter("salts > 1"))  # hosts of 64 MB or more
+    spread = lists.join(many, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salted = pages.join(F.broadcast(many), "host", "left").withColumn("salt", F.pmod(F.xxhash64("html"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return salted.join(spread, ["host", "salt"], how).drop("salt")
 
-    A class is the tokens with one occurrence vector over the host's distinct pages; it is valid if it has
-    ``least_class`` tokens or more and lies on ``share`` of at least ``least_pages`` pages.
-    """
-    distinct = pages.filter("html is not null").select("host", F.md5("html").alias("digest"), "html").dropDuplicates(["host", "digest"])
-    found = distinct.mapInArrow(_tokens(), "host string, token long, pages long, vector long, text boolean")
-    tokens = found.withColumn("vector", F.col("vector").bitwiseXOR(F.lit(-(1 << 63)))).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"))
-    tokens = Workspace(pages.sparkSession, "pages").table("tokens", tokens.filter(F.col("pages") > 1))
-    size = tokens.filter(F.col("token") == _key("page", "")).select("host", F.col("pages").alias("all_pages"))
-    often = tokens.join(size, "host").filter((F.col("all_pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages")))
-    classes = often.groupBy("host", "vector").agg(F.collect_list("token").alias("members")).filter(F.size("members") >= least_class)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
 
+def _distinct_pages(pages: DataFrame, work: Workspace, most_broadcast: int) -> DataFrame:
+    """One of each (host, digest); only pages that have copies are exchanged while their digests are few."""
+    copied = work.table("copied", pages.groupBy("host", "digest").count().filter("count > 1").select("host", "digest"))
+    if copied.count() * 128 > most_broadcast:
+        return pages.dropDuplicates(["host", "digest"])
+    some = pages.join(F.broadcast(copied), ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
+    return pages.join(F.broadcast(copied), ["host", "digest"], "left_anti").unionByName(some)
 
-#: Parts in which the pages of a host meet its template, so that a large host is not one task.
-_SALTS = 16
 
+def deduce_templates(pages: DataFrame, *, least_pages: int = 3, share: float = 0.8, least_class: int = 2, most_broadcast: int = 16 << 20) -> DataFrame:
+    """(host, template, linked) for ``pages`` (host, html): the tokens of the host's valid classes, and the paths of
+    slots that hold links for the most part.
 
-def extract_text(pages: DataFrame, **options) -> DataFrame:
+    A class is the tokens with one occurrence vector over the host's distinct pages, ``least_pages`` or more.
+    It is valid if it has ``least_class`` tokens or more, lies on ``share`` of the pages, and is ordered and
+    nested alike on ``share`` of those.
+    """
+    work = Workspace(pages.sparkSession, "pages")
+    read = pages.filter("html is not null").select("host", "html", F.md5("html").alias("digest"))
+    found = _distinct_pages(read, work, most_broadcast).mapInArrow(_tokens(), "host string, token long, pages long, vector long")
+    tokens = found.withColumn("vector", F.col("vector").bitwiseXOR(F.lit(-(1 << 63)))).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"))
+    tokens = work.table("tokens", tokens.filter(F.col("pages") > 1))
+    size = tokens.filter(F.col("token") == _PAGE).select("host", F.col("pages").alias("all_pages"))
+    often = tokens.filter(F.col("token") != _PAGE).join(size, "host").filter((F.col("all_pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages")))
+    classes = often.groupBy("host", F.col("vector").alias("class")).agg(F.max("pages").alias("pages"), F.collect_list("token").alias("members")).filter(F.size("members") >= least_class)
+    classes = work.table("classes", classes)
+    listed = work.table("listed", classes.groupBy("host").agg(F.collect_list(F.struct("class", "pages", "members")).alias("classes")))
+    seen = _by_host(read.select("host", "html"), listed, most_broadcast, "inner").mapInArrow(_arrange, "host string, kind int, a long, b long, n long, m long")
+    seen = work.table("seen", seen.groupBy("host", "kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    order = seen.filter(F.col("kind") == _ORDER).groupBy("host", F.col("a").alias("class")).agg(F.sum("n").alias("all"), F.max(F.when(F.col("b") != 0, F.col("n"))).alias("most"))
+    valid = classes.join(order.filter(F.col("most") >= share * F.col("all")), ["host", "class"], "left_semi")
+    linked = seen.filter((F.col("kind") == _SLOT) & (2 * F.col("m") >= F.col("n"))).groupBy("host").agg(F.collect_list("a").alias("linked"))
+    template = valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
+    return work.table("templates", template.join(linked, "host", "left").select("host", "template", F.coalesce("linked", F.array().cast("array<bigint>")).alias("linked")))
+
+
+def extract_text(pages: DataFrame, *, most_broadcast: int = 16 << 20, **options) -> DataFrame:
     """The main text of every row of ``pages`` (page_id, url, html).
 
     Results: page_id, url, text (blocks in page order, joined by a line feed), n_chars, and
     template_tags (tags that the host's template holds).
 
     A null or empty html gives an empty text.  Broken markup is read as browsers do where it is
-    common: unclosed paragraphs, list items and cells end where the next begins, an unclosed script
-    or comment runs to the end.  The host is that of the url, in lower case; a null or relative url
-    belongs to the empty host.  Repeated pages count once for the template and are answered each.
-    Text inside an article is never taken for template.  Other columns are ignored.  An empty table
-    gives no rows.
+    common: unclosed paragraphs, list items and cells end where the next begins, an unclosed script,
+    comment or tag runs to the end.  The host is that of the url, in lower case; a null or relative
+    url belongs to the empty host.  Repeated pages count once for the template and are answered each.
+    Other columns are ignored.  An empty table gives no rows.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select("page_id", "url", "html", host.alias("host"))
-    templates = deduce_templates(source, **options)
-    templates = templates.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
-    return salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, template_tags long")
+    templates = deduce_templates(source, most_broadcast=most_broadcast, **options)
+    met = _by_host(source, templates, most_broadcast)
+    return met.select("page_id", "url", "html", "template", "linked").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, template_tags long")

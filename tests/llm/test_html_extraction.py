@@ -1,4 +1,10 @@
-from echoframe.llm.html_extraction import extract_text, parse
+import random
+import re
+import time
+
+import pytest
+from echoframe.llm.html_extraction import extract_text, main_text, parse
+from echoframe.llm.queries import op7_html_extraction
 
 
 def _page(k, article="<article><h1>Title {k}</h1><p>One {k} &amp; <b>bold</b>\n text<p>Two {k}</article>"):
@@ -52,16 +58,109 @@ def test_tables(spark, sf_dir):
         assert texts[r.page_id] == "\n".join(b for b in blocks if b)
 
 
-def test_paths_keep_regions_apart():
-    blocks, tags = parse("<body><div class='nav-x'><p>m</div><p>t</body>")
-    assert [(b.text, b.dropped) for b in blocks] == [("t", False)]
-    assert tags["/body/p"] == 1
-
-
-def test_layout_marks_and_quoted_words_drop_nothing():
-    kept = lambda page: [b.text for b in parse(page)[0] if not b.dropped]
-    assert kept('<body><div class="with-sidebar"><article><p>t</article></div>') == ["t"]
-    assert kept('<body><div class="page no-sidebar"><main><p>t</main></div>') == ["t"]
-    assert kept('<article><header class="entry-header"><h1>T</h1></header><div class="post-header"><h2>U</h2></div><p>t</article>') == ["T", "U", "t"]
-    assert kept('<body><p title="the hidden gem">a</p><p data-x=\'id="nav"\'>b</p>') == ["a", "b"]
-    assert kept('<body><div id=comments><article><p>c</article></div><div hidden><article>d</article></div><div class="x header"><p>e</div><p>t') == ["t"]
+def _kept(page):
+    return [b.text for b in parse(page).blocks if not b.dropped]
+
+
+def test_regions_and_layout_marks():
+    assert _kept("<body><div class='nav-x'><p>m</div><p>t</body>") == ["t"]
+    assert _kept('<body><div class="with-sidebar"><article><p>t</article></div>') == ["t"]
+    assert _kept('<body><div class="page no-sidebar"><main><p>t</main></div>') == ["t"]
+    assert _kept('<article><header class="entry-header"><h1>T</h1></header><div class="post-header"><h2>U</h2></div><p>t</article>') == ["T", "U", "t"]
+    assert _kept('<body><p title="the hidden gem">a</p><p data-x=\'id="nav"\'>b</p>') == ["a", "b"]
+    assert _kept('<body><div id=comments><article><p>c</article></div><div hidden><article>d</article></div><div class="x header"><p>e</div><p>t') == ["t"]
+    assert _kept('<article><h1>T</h1><h2 class="related">S</h2><p class="review">A</p><div class="overflow-hidden">B</div><div class="side-by-side">C</div><div class="share">no</div></article>') == ["T", "S", "A", "B", "C"]
+    assert _kept('<div class="related-work">a</div><div class="has-comments">b</div><div class="product-reviews">c</div><div class="site-footer">no</div><div class="cookie-notice">no</div>') == ["a", "b", "c"]
+    assert _kept("<p>a<![CDATA[hello world") == ["ahello world"]
+    assert _kept('<p>a<b title="x>y</b> z') == ["ay z"]
+
+
+@pytest.mark.parametrize("page", ["<" * 1_000_000, "<b>x" * 250_000, "<b>" * 330_000 + "</p>" * 5000, "<a " * 330_000, "<div " * 100 + "'" * 500_000, "<p>x</b>" * 120_000, "<!--" * 250_000], ids=str.__len__)
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 20
+
+
+def _exalg(pages, least_pages=3, share=0.8):
+    """Template tokens and linked slots of one host, from occurrence vectors as tuples."""
+    parsed = [parse(p) for p in dict.fromkeys(pages)]
+    vectors = {t: tuple(p.tokens.count(t) for p in parsed) for p in parsed for t in p.tokens}
+    classes = {}
+    for t, v in vectors.items():
+        if len(parsed) >= least_pages and sum(n > 0 for n in v) >= share * len(parsed):
+            classes.setdefault(v, set()).add(t)
+    classes = {v: m for v, m in classes.items() if len(m) >= 2}
+    if not classes:
+        return None, set()
+    roots = sorted(classes, key=lambda v: (sum(n > 0 for n in v), len(classes[v])))
+    of = {t: v for v, m in classes.items() for t in m}
+    seen = {v: [] for v in classes}
+    slots = {}
+    for p in map(parse, pages):
+        for v, m in classes.items():
+            places = [k for k, t in enumerate(p.tokens) if t in m]
+            if not places:
+                continue
+            now = [p.tokens[k] for k in places]
+            gap = 0 if v == roots[-1] else sum(t in classes[roots[-1]] for t in p.tokens[: places[0]])
+            ordered = now == now[: len(set(now))] * (len(now) // len(set(now)))
+            seen[v].append((gap, tuple(now[: len(set(now))])) if ordered else None)
+        for b in p.blocks:
+            if not (b.dropped or b.article or b.token in of):
+                node = b.node
+                while node.parent is not None and node.path not in of:
+                    node = node.parent
+                slots.setdefault(node.path, []).append((len(b.text), b.links))
+    valid = {v for v, s in seen.items() if max((s.count(x) for x in s if x), default=0) >= share * len(s)}
+    return {t for v in valid for t in classes[v]}, {k for k, x in slots.items() if 2 * sum(m for _, m in x) >= sum(n for n, _ in x)}
+
+
+def _hosts():
+    """Hosts whose pages keep text in unnamed boxes: only the template tells it from what stands around it."""
+    rng = random.Random(4)
+    line = lambda n=9: " ".join("w%d" % rng.randrange(900) for _ in range(n))
+    rows = []
+    for h in range(5):
+        for k in range(h + 3):
+            links = "".join(f"<a href=/{j}>{line(2)}</a> " for j in range(rng.randint(2, 5)))
+            body = "".join(f"<p>{line(20)}</p>" for _ in range(rng.randint(1, 6)))
+            inner = f"<h1>{line(3)}</h1>{body}<p>Tell your friends about host {h}.</p>"
+            main = f"<article>{inner}</article>" if h % 2 else f"<div id=x1>{inner}</div>"
+            rows.append((h * 100 + k, f"http://h{h}.example/{k}", f"<body><div id=x0><p>Welcome to {h}</p></div>{main}<div id=x2><div>{links}</div></div><div id=x3><b>All rights with {h}</b></div></body>"))
+    return rows
+
+
+def test_templates_decide_and_agree_with_brute_force(spark):
+    rows = _hosts()
+    got = _run(spark, rows)
+    none = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), least_pages=10**6).collect()}
+    for h in range(5):
+        pages = [x for _, u, x in rows if u.startswith(f"http://h{h}.")]
+        template, linked = _exalg(pages)
+        for i, u, x in rows:
+            if u.startswith(f"http://h{h}."):
+                assert got[i].text == "\n".join(main_text(parse(x), template, linked))
+                assert "friends" in x and "friends" not in got[i].text and "friends" in none[i].text
+                assert "rights" not in got[i].text and "Welcome" not in got[i].text
+                assert all(p in got[i].text for p in re.findall("<p>(w[^<]*)</p>", x)) and not re.search("<a href=/0>([^<]*)</a>", x)[1] in got[i].text.split("\n")
+
+
+def test_joined_by_host_and_salt(spark):
+    rows = _hosts() + [(900 + k, "http://copies.example/", "<body><p>Same</p></body>") for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(df, most_broadcast=-1).collect()} == {r.page_id: r.text for r in extract_text(df).collect()}
+
+
+def test_whole_query_by_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(re.sub("^[a-z]+://([^/?#:]*).*", r"\1", r.url, flags=re.S).lower(), []).append(r)
+    got = {r.page_id: r for r in op7_html_extraction(spark, sf_dir).collect()}
+    assert len(got) == len(pages)
+    for some in hosts.values():
+        template, linked = _exalg([r.html for r in some])
+        for r in some:
+            text = "\n".join(main_text(parse(r.html), template, linked))
+            assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)
