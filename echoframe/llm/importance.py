@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,9 +162,7 @@ def _score(shared_labels, shared_models, bits: int, seed: int):
             good = [labels.of(i) for i in ids]
             weights = np.array([_weigh(models, grams(t.as_py(), bits), bool(own)) for own, t in zip(good, table.column("text"), strict=True)], np.float64)
             noise = gumbel(np.array([-1 if i is None else i for i in ids], np.int64), seed)
-            scored = [pa.array(ids, pa.int64()), pa.array(good, pa.bool_()), pa.array(weights), pa.array(weights + noise)]
-            extra = [n for n in table.schema.names if n not in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([*scored, *(table.column(n) for n in extra)], names=[*_SCORED.names, *extra])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(good, pa.bool_()), pa.array(weights), pa.array(weights + noise)], schema=_SCORED)
 
     return run
 
@@ -191,11 +190,21 @@ class Resampler:
         self.labels.destroy()
         self.models.destroy()
 
-    def score(self, docs: DataFrame, *extra: str) -> DataFrame:
-        """doc_id, label (in the sample: target or not), log_weight, key, and ``extra`` columns."""
-        source = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(f"`{e}`") for e in extra))
-        schema = ", ".join(["doc_id long, label boolean, log_weight double, key double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])])
-        return source.mapInArrow(_score(self.labels, self.models, self.bits, self.seed), schema)
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id, label (in the sample: target or not), log_weight and key."""
+        source = docs.select(F.col("doc_id").cast("long"), "text")
+        return source.mapInArrow(_score(self.labels, self.models, self.bits, self.seed), "doc_id long, label boolean, log_weight double, key double")
+
+    def reaches(self, docs: DataFrame, cut: float) -> DataFrame:
+        """The rows of ``docs`` with a key of ``cut`` or more; only doc_id and text go through Python."""
+        score = _score(self.labels, self.models, self.bits, self.seed)
+
+        @F.arrow_udf("boolean")
+        def reached(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+            (scored,) = score([pa.RecordBatch.from_arrays([doc_id, text], names=["doc_id", "text"])])
+            return pc.greater_equal(scored.column("key"), cut)
+
+        return docs.filter(reached(F.col("doc_id").cast("long"), F.col("text")))
 
 
 def kth_key(keys: DataFrame, k: int, cells: int = 4096) -> float:
@@ -245,8 +254,13 @@ def _cut(scored: DataFrame, recall: float, k: int | None) -> float:
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, *, recall: float = 0.985, k: int | None = None, **options) -> DataFrame:
-    """The selected rows of ``docs``, all columns kept; texts are weighed again in place of being exchanged."""
+    """The rows of ``docs`` that resample() selects, all columns kept (any name is free).
+
+    Texts are weighed again in place of being exchanged.  Nulls, blank texts, repeated rows, ties and
+    empty tables are as in resample().
+    """
+    work = Workspace(docs.sparkSession, "resample")
     sampler = Resampler(docs, labels, **options)
-    cut = _cut(Workspace(docs.sparkSession, "resample").table("scored", sampler.score(docs)), recall, k)
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return sampler.score(rows, "_row").filter(F.col("key") >= F.lit(cut)).select("_row.*")
+    cut = _cut(work.table("scored", sampler.score(docs)), recall, k)
+    work.drop("scored")
+    return sampler.reaches(docs, cut)

@@ -2,16 +2,20 @@
 
 Documents are sets of word shingles.  Sets are put in size bands; within the
 reach of one band, similar sets differ in at most k elements.  The hash domain
-is cut into more than k parts, and a set's signatures are the hashes of its
-elements in each part (PartEnum, Arasu, Ganti and Kaushik 2006, with one level
-of enumeration): two sets that differ in at most k elements agree in at least
-one part.
+is cut into n1 first-level parts of n2 second-level parts each, and a set's
+signatures are the hashes of its elements in every subset of n2 - k2 of the
+second-level parts of a first-level part (PartEnum, Arasu, Ganti and Kaushik
+2006): of n1 >= (k + 1) / (k2 + 1) first-level parts, one holds at most k2 of
+the k differences, so that a subset of its parts agrees.  Small sets (k up to 5)
+take all pairs of k + 2 parts, since a single part would hold too few elements to
+tell them apart.  Larger ones take n2 = k2 + 1, subsets of one part: no choice
+needs fewer signatures.
 
 Three lossless refinements keep the candidates few:
 
 * Equal sets are one class from the start; signatures are made for classes.
-* With m parts, of which e are empty for a set, every similar set shares at
-  least m - e - k of its non-empty signatures.  So a set with fewer crowded
+* With m parts and subsets of one, of which e are empty for a set, every similar
+  set shares at least m - e - k of its non-empty signatures.  So a set with fewer crowded
   signatures than that finds all partners through the others: a passage that
   many documents share crowds a few signatures and costs nothing.
 * Parity sketches bound the difference of two sets from below; a pair whose
@@ -28,9 +32,12 @@ round compares members that are still in different components and whose common
 elements can be enough; pairs inside a component need no look, as the result is
 the components.
 
-Spark plan: signatures travel as sorted key blobs by hash range (see packing),
-candidates and sketches as narrow rows; only the sets of candidates that pass
-their sketches are compared, element by element.
+Spark plan: signatures travel as sorted key blobs by hash range (see packing); a
+task sends no more than ``_CROWD`` + 1 members of a signature to its range, which
+is enough to know it as crowded, and deals the others out by salt, so a family of
+a third of all rows is never gathered.  Candidates and sketches are narrow rows;
+only the sets of candidates that pass their sketches are compared, element by
+element.
 """
 
 from __future__ import annotations
@@ -39,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +59,8 @@ _BITS = 48
 _PARITY = 8
 #: A signature with more classes than this is crowded.
 _CROWD = 8
+#: Sets that differ in up to so many elements make signatures of pairs of parts.
+_PAIRED = 5
 
 
 class Measure:
@@ -71,10 +81,12 @@ class Measure:
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(m, k) of the sets in a band and the one before: parts, and the most differing elements."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """(m, k, size) of the sets in a band and the one before: parts, the most differing elements, parts in a subset."""
         k = self.difference(2 * (self.edges[band + 1] - 1))
-        return (0, 0) if k == 0 else (k + 1 + k * 3 // 20, k)
+        if k == 0:
+            return 0, 0, 0
+        return (k + 2, k, 2) if k <= _PAIRED else (k + 1 + k * 3 // 20, k, 1)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -105,13 +117,22 @@ def signatures(s: np.ndarray, measure: Measure) -> Iterator[tuple[int, int, np.n
     """
     own = measure.band(len(s))
     for band in (own, own + 1):
-        m, k = measure.parts(band)
+        m, k, size = measure.parts(band)
         if not m:
             continue
         part = ((s >> U(32)) * U(m)) >> U(32)
         full, first = np.unique(part, return_index=True)
         sums = np.add.reduceat(mix(s), first)
         least = len(full) - k
+        if size == 2:
+            every, some = np.zeros(m, U), np.zeros(m, bool)
+            every[full.astype(np.int64)], some[full.astype(np.int64)] = sums, True
+            one, two = np.triu_indices(m, 1)
+            if least > 0:  # two parts agree, one of them not empty
+                both = some[one] | some[two]
+                one, two = one[both], two[both]
+            yield band, 1, chain(np.full(len(one), band, U), one.astype(U) * U(m) + two.astype(U), every[one], every[two]) >> U(64 - _BITS)
+            continue
         if least <= 0:
             every = np.zeros(m, U)
             every[full.astype(np.int64)] = sums
@@ -161,16 +182,25 @@ def _send(words: int, seed: int, percent: int, parts: int, flush: int):
         keys: list[np.ndarray] = []
         cls: list[int] = []
         shared: list[int] = []
-        waiting = 0
+        waiting, flushed = 0, [0]
 
         def rows() -> pa.RecordBatch:
             key = np.concatenate(keys)
             who = np.repeat(np.arange(len(keys), dtype=U), [len(k) for k in keys])
             order = np.argsort(key, kind="stable")
             key, who = key[order], who[order]
-            cut = ranges(key, _BITS, parts)
+            at = np.arange(len(key))
+            nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), at, 0))
+            more = nth > _CROWD  # as many of a task's classes as make a signature crowded go to its range, the others apart
             out: dict[str, list] = {name: [] for name in _SENT.names}
             names, most = np.array(cls, np.int64).view(U), np.array(shared, U)
+            if more.any():
+                salt = (TaskContext.get().partitionId() * 31 + flushed[0]) % parts
+                for name, value in zip(_SENT.names, (-1 - salt, pack_sorted(key[more]), pack(np.arange(more.sum())), pack(names[who[more].astype(np.int64)]), pack(most[who[more].astype(np.int64)])), strict=True):
+                    out[name].append(value)
+                key, who = key[~more], who[~more]
+            flushed[0] += 1
+            cut = ranges(key, _BITS, parts)
             for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if a < b:
                     here, local = np.unique(who[a:b], return_inverse=True)
@@ -212,6 +242,9 @@ def _gather(table: pa.Table) -> pa.Table:
         columns.append((unpack_sorted(keys.as_py()), unpack(cls.as_py()).view(np.int64)[who], unpack(shared.as_py()).astype(np.int64)[who]))
     key, cls, shared = (np.concatenate(c) for c in zip(*columns, strict=True))
     del columns
+    none = lambda k: pa.nulls(k, pa.int64())
+    if table.column("part")[0].as_py() < 0:
+        return pa.Table.from_arrays([*(pa.array(x.astype(np.int64)) for x in (key, cls, shared)), none(len(key)), none(len(key))], schema=_FOUND)
     order = np.lexsort((cls, key))
     key, cls, shared = key[order], cls[order], shared[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
@@ -226,7 +259,6 @@ def _gather(table: pa.Table) -> pa.Table:
     pair = np.unique(np.concatenate(pairs), axis=0)
     crowded = np.repeat(size > _CROWD, size)
     n, h = len(pair), int(crowded.sum())
-    none = lambda k: pa.nulls(k, pa.int64())
     return pa.Table.from_arrays(
         [pa.concat_arrays([none(n), pa.array(x[crowded].astype(np.int64))]) for x in (key, cls, shared)] + [pa.concat_arrays([pa.array(np.ascontiguousarray(pair[:, k])), none(h)]) for k in (0, 1)],
         schema=_FOUND,
@@ -296,7 +328,7 @@ def _equal(percent: int):
     return run
 
 
-def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range_bytes: int = 16 << 20, flush: int = 1 << 20) -> DataFrame:
+def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range_bytes: int = 8 << 20, flush: int = 1 << 20) -> DataFrame:
     """Groups of the rows of ``docs`` (doc_id, text) whose shingle sets have Jaccard >= percent / 100.
 
     One row for each row: doc_id, n_shingles, component_id (the least doc_id that links reach, itself
@@ -326,7 +358,7 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
     found = work.table("found", sent.groupBy("part").applyInArrow(_gather, "key long, cls long, shared long, a long, b long"))
     crowded = found.filter("key is not null").select("key", "cls", "shared")
     busy = crowded.groupBy("cls", "shared").agg(F.count("*").alias("h")).filter("h >= shared").select("cls", "shared")
-    crowded = work.table("crowded", crowded.join(busy, ["cls", "shared"]).select("key", "cls"))
+    crowded = work.table("crowded", crowded.join(busy, ["cls", "shared"]).select("key", "cls").distinct())
     pairs = found.filter("a is not null").select("a", "b").distinct()
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(crowded.select("cls")).distinct()
@@ -364,18 +396,39 @@ def group_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, range
         links = links.union(verified(across, "2"))
         groups = connected_components(links, work, "groups-2")
 
+    for name in ("found", "crowded", "sets", "members", "first", "near-1", "links-1", "split", "near-2", "links-2", *(f"peel-{k}" for k in range(5))):
+        work.drop(name)
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", "n_copies", F.coalesce("component", "cls").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "n_copies", "component_id")
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group, all columns kept.
+def keep_one_of_each_group(docs: DataFrame, *, most_broadcast: int = 16 << 20, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their group, all columns kept (any name is free).
+
+    Rows that repeat doc_id and text stay once.  Texts without words are in no group and stay, null
+    ones included.  Of rows that share a doc_id all stay if one of them is its group's least; a null
+    doc_id stays where its group has no other id.  An empty table gives no rows.
 
-    Rows that repeat doc_id and text stay once.  Texts without words are in no group and stay.
+    The ids that go are a list, broadcast up to ``most_broadcast`` bytes as counted; texts are not
+    exchanged, but for rows whose doc_id occurs more than once.
     """
+    work = Workspace(docs.sparkSession, "keep")
     groups = group_documents(docs, **options)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.withColumn("_digest", F.md5("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_digest"]).select([F.col(f"`{c}`") for c in docs.columns])
+    ids = work.table("ids", groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("n > 1 or not stays"))
+
+    def listed(test: str, name: str) -> tuple[DataFrame, int]:
+        some = ids.filter(test).select(F.col("doc_id").alias(name))
+        n = some.count()
+        return (F.broadcast(some) if 16 * n <= most_broadcast else some), n
+
+    gone, _ = listed("not stays", "gone")
+    again, repeated = listed("stays and n > 1", "again")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    if repeated:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        once = rows.join(again, same, "left_semi").withColumn("digest", F.md5("row.text")).dropDuplicates(["id", "digest"]).drop("digest")
+        rows = rows.join(again, same, "left_anti").unionByName(once)
+    return rows.select("row.*")

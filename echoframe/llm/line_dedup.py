@@ -143,8 +143,9 @@ def dedup_lines(docs: DataFrame, *, window: int = 2, long_words: int = 50, most_
     found = _settle(found, lines=F.split("text", "\n", -1)).select(*_DOC, "lines", F.explode("spans").alias("u"))
     found = found.select(*_DOC, "u.*", F.array_join(F.slice("lines", F.col("u.a") + 1, F.col("u.b") - F.col("u.a") + 1), "\n").alias("body"))
     kept = found.filter("earlier").dropDuplicates(_SAME).select(*_SAME, F.col("body").alias("kept"))
-    differ = work.table("differ", found.filter("not earlier").join(kept, _SAME).filter("body != kept").select(*_DOC, "kind", "a"))
+    differ = found.filter("not earlier").join(kept, _SAME).filter("body != kept").select(*_DOC, "kind", "a")
     if not differ.isEmpty():
+        differ = work.table("differ", differ)
         same = later.join(differ.withColumnsRenamed({c: f"d_{c}" for c in differ.columns}), F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key")) & (F.col("kind") == F.col("d_kind")) & (F.col("a") == F.col("d_a")), "left_anti")
         met = same.filter(F.col("kind") == _CHUNK).withColumn("run", F.lit(None).cast("int")).unionByName(_passages(same.filter(F.col("kind") == _PAIR), long_words))
 

@@ -147,3 +147,38 @@ def test_components(spark):
 def test_percent_is_checked():
     with pytest.raises(ValueError):
         j.Measure(10)
+
+
+def test_small_sets_share_a_pair_of_parts():
+    """Subsets of two second-level parts: sets that differ in k elements or fewer agree in both parts of one."""
+    m = j.Measure(80)
+    assert [m.parts(b)[2] for b in range(12)].count(2) >= 3
+    for band in range(12):
+        parts, k, size = m.parts(band)
+        if size == 2:
+            s = np.unique(np.random.default_rng(band).integers(0, 2**64, m.edges[band], dtype=np.uint64))
+            keys = [x for b, _, x in j.signatures(s, m) if b == band]
+            assert parts == k + 2 and len(keys[0]) <= parts * (parts - 1) // 2
+
+
+def test_keeps_one_row_of_each_group_with_any_column_names(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other words are here now"), (4, None), (4, None), (5, ""), (None, "a b c d e f"), (None, "q r s"), (6, "x y z"), (6, "k l m n")]
+    df = spark.createDataFrame([(*r, "d", "e") for r in rows], "doc_id long, text string, `_digest` string, `row` string")
+    got = sorted(((str(r.doc_id), str(r.text), r["_digest"], r["row"]) for r in j.keep_one_of_each_group(df).collect()))
+    want = [(1, "a b c d e f"), (3, "other words are here now"), (4, None), (5, ""), (None, "a b c d e f"), (None, "q r s"), (6, "x y z"), (6, "k l m n")]
+    assert got == sorted((str(i), str(t), "d", "e") for i, t in want)
+    assert sorted(map(tuple, j.keep_one_of_each_group(df, most_broadcast=-1).collect()), key=str) == sorted(map(tuple, j.keep_one_of_each_group(df).collect()), key=str)
+
+
+def test_a_family_of_a_third_of_all_rows(spark):
+    """Members beyond those that a range needs go by salt; no link is lost."""
+    rng = random.Random(6)
+    base = ["w%d" % rng.randrange(900) for _ in range(60)]
+    rows = []
+    for i in range(600):
+        words = list(base) if i % 3 == 0 else ["v%d" % rng.randrange(10**6) for _ in range(40)]
+        if i % 3 == 0:
+            words[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = _rows(j.group_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), flush=4000, range_bytes=20000))
+    assert got == _brute(rows)
