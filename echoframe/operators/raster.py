@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cx
 from ..functions.radar import decibels, to_byte
+from .lines import spline_percentile
+from .order import Ranked, percentile
 
 
 def multilook(pixels: DataFrame, la: int, lr: int, values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +60,9 @@ def coherence(pair: DataFrame, w1: int = 5, w2: int = 5) -> DataFrame:
 def map_statistics(values: DataFrame, name: str) -> DataFrame:
     """Median, 90th percentile, mean and the shares above one half and seven tenths."""
     v = F.col(name)
-    return values.agg(F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"), F.avg(v).alias("mean"), F.avg((v > 0.5).cast("double")).alias("above_half"), F.avg((v > 0.7).cast("double")).alias("above_seven_tenths"))
+    with Ranked(values, v) as ranked:
+        found = ranked.percentiles([0.5, 0.9])
+    return values.agg(F.lit(found.get((0, 0.5))).cast("double").alias("median"), F.lit(found.get((0, 0.9))).cast("double").alias("p90"), F.avg(v).alias("mean"), F.avg((v > 0.5).cast("double")).alias("above_half"), F.avg((v > 0.7).cast("double")).alias("above_seven_tenths"))
 
 
 def displaced(pair: DataFrame, s: int) -> DataFrame:
@@ -103,15 +107,16 @@ def density(amplitude: Column, mean: Column, low: float, span: float) -> Column:
     return m * F.log10(F.greatest(amplitude, F.lit(1e-5))) + (low - m * F.log10(start))
 
 
-def remap(pixels: DataFrame, kind: str) -> DataFrame:
-    """Display values (i, j, value) of amplitudes (i, j, a)."""
+def remap(pixels: DataFrame, kind: str, spline: bool = True) -> DataFrame:
+    """Display values (i, j, value) of amplitudes (i, j, a); ``spline``: the knee of nrl by the spline through ranks, else linear."""
     a = F.col("a")
     if kind in DENSITY or kind == "pedf":
         d = density(a, F.col("mean"), *DENSITY["density" if kind == "pedf" else kind])
         d = F.when(d > 128, 0.5 * (d + 128)).otherwise(d) if kind == "pedf" else d
         return with_scalars(pixels, mean=F.avg("a")).select("i", "j", to_byte(d).alias("value"))
     if kind == "nrl":
-        met = with_scalars(pixels, low=F.min("a"), high=F.max("a"), p99=F.percentile("a", F.lit(0.99)))
+        knee = F.lit(spline_percentile(pixels, "a", 99.0)).cast("double") if spline else percentile(pixels, a, 0.99)
+        met = with_scalars(pixels, low=F.min("a"), high=F.max("a")).withColumn("p99", knee)
         knee = F.col("p99") - F.col("low")
         flat = (a - F.col("low")) * 220.0 / knee
         bent = (255.0 - 220.0) / F.log10((F.col("high") - F.col("low")) / knee) * F.log10(F.greatest(a - F.col("low"), F.lit(1e-300)) / knee) + 220.0
@@ -133,8 +138,8 @@ def level(pixels: DataFrame, how: str = "clipped") -> DataFrame:
     """Brightness of powers (i, j, p) on every second pixel: the mean below the 99th percentile, or the median."""
     some = pixels.filter((F.col("i") % 2 == 0) & (F.col("j") % 2 == 0) & (F.col("p") > 0))
     if how == "median":
-        return some.agg(F.percentile("p", F.lit(0.5)).alias("level"))
-    return with_scalars(some, p99=F.percentile("p", F.lit(0.99))).filter("p <= p99").agg(F.avg("p").alias("level"))
+        return some.agg(F.max(percentile(some, F.col("p"), 0.5)).alias("level"))
+    return some.filter(F.col("p") <= percentile(some, F.col("p"), 0.99)).agg(F.avg("p").alias("level"))
 
 
 def stack_mean(stack: DataFrame, equalize: bool = True) -> DataFrame:
@@ -145,7 +150,9 @@ def stack_mean(stack: DataFrame, equalize: bool = True) -> DataFrame:
     """
     valid = stack.filter("p > 0")
     if equalize:
-        top = valid.groupBy("img_id").agg(F.percentile("p", F.lit(0.99)).alias("p99"))
+        with Ranked(valid, F.col("p"), F.col("img_id")) as ranked:
+            found = ranked.percentiles([0.99])
+        top = stack.sparkSession.createDataFrame([(g, v) for (g, _), v in found.items()], "img_id long, p99 double")
         levels = valid.join(F.broadcast(top), "img_id").filter("p <= p99").groupBy("img_id").agg(F.avg("p").alias("level"))
         first = levels.agg(F.min_by("level", "img_id").alias("first"))
         gains = levels.crossJoin(F.broadcast(first)).select("img_id", (F.col("first") / F.col("level")).alias("gain"))
@@ -160,10 +167,12 @@ def change(pair: DataFrame, window: int = 5) -> DataFrame:
 
     Noise is the 0.5th percentile of the 15 x 15 mean power of each image.
     """
-    box = coherence(pair, window, window)
-    noise = box_mean(cross_terms(pair), ["pa", "pb"], 15, 15).filter((F.col("i") % 4 == 0) & (F.col("j") % 4 == 0)).agg(F.percentile("pa", F.lit(0.005)).alias("na"), F.percentile("pb", F.lit(0.005)).alias("nb"))
-    met = box.crossJoin(F.broadcast(noise)).withColumn("ratio", decibels(F.col("pb")) - decibels(F.col("pa")))
-    met = met.crossJoin(F.broadcast(met.agg(F.percentile("ratio", F.lit(0.5)).alias("middle"))))
+    box = coherence(pair, window, window).withColumn("ratio", decibels(F.col("pb")) - decibels(F.col("pa"))).persist()
+    noise = box_mean(cross_terms(pair), ["pa", "pb"], 15, 15).filter((F.col("i") % 4 == 0) & (F.col("j") % 4 == 0))
+    both = noise.select(F.inline(F.array(F.struct(F.lit(0).alias("image"), F.col("pa").alias("p")), F.struct(F.lit(1), F.col("pb")))))
+    with Ranked(both, F.col("p"), F.col("image")) as ranked:
+        least = ranked.percentiles([0.005])
+    met = box.withColumns({n: F.lit(least.get((k, 0.005))).cast("double") for k, n in enumerate(("na", "nb"))}).withColumn("middle", percentile(box, F.col("ratio"), 0.5))
     snr = [F.greatest((F.col(p) - F.col(n)) / F.col(n), F.lit(1e-30)) for p, n in (("pa", "na"), ("pb", "nb"))]
     allowed = 1 / F.sqrt((1 + 1 / snr[0]) * (1 + 1 / snr[1]))
     return met.select("i", "j", (F.col("ratio") - F.col("middle")).alias("ratio_db"), "coherence", allowed.alias("allowed"))

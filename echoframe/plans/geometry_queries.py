@@ -286,7 +286,7 @@ def _(spark, d):
 @query(
     "fill_gaps",
     r.rounded_sql(
-        """WITH t AS (SELECT o_orderkey % 20 AS id, o_orderkey AS p, (o_orderkey // 20) * 2e0 AS x, (o_orderkey // 20) * 1e0 AS y, 0e0 AS z FROM orders WHERE o_orderkey // 20 % 7 <> 3 AND o_orderkey < 10000),
+        """WITH t AS (SELECT o_orderkey % 20 AS id, o_orderkey AS p, (o_orderkey // 20) * 2e0 AS x, (o_orderkey // 20) * 1e0 AS y, 0e0 AS z FROM orders WHERE o_orderkey // 20 % 7 <> 3),
 n AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM t WINDOW w AS (PARTITION BY id ORDER BY p)), s AS (SELECT *, sqrt(pow(x1 - x, 2) + pow(y1 - y, 2) + pow(z1 - z, 2)) AS step FROM n),
 m AS (SELECT *, CAST(coalesce(greatest(round(step / quantile_cont(step, 0.5) OVER (PARTITION BY id)), 1), 1) AS BIGINT) AS m FROM s), k AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n0 FROM m),
 e AS (SELECT *, unnest(range(m)) AS k FROM k)
@@ -313,8 +313,8 @@ def _(spark, d):
 
 # A small scene: scatterers from part keys, a broadside track from supplier keys.
 _FMIN, _DF, _K = 9.4e9, 2.5e6, 24
-_SMALL = f"""s AS (SELECT (p_partkey % 40 - 20) * 0.4e0 AS x, (p_partkey // 40 % 40 - 20) * 0.4e0 AS y, 0e0 AS z, p_retailprice / 1000 AS amp FROM part WHERE p_partkey < 200),
-a AS (SELECT s_suppkey AS p, -8660.254e0 AS ax, (s_suppkey - 4.5e0) * 2.5e0 AS ay, 5000e0 AS az FROM supplier WHERE s_suppkey < 10),
+_SMALL = f"""s AS (SELECT (p_partkey % 40 - 20) * 0.4e0 AS x, (p_partkey // 40 % 40 - 20) * 0.4e0 AS y, 0e0 AS z, p_retailprice / 1000 AS amp FROM part),
+a AS (SELECT s_suppkey AS p, -8660.254e0 AS ax, (s_suppkey - 4.5e0) * 2.5e0 AS ay, 5000e0 AS az FROM supplier),
 hist AS (SELECT p, k, sum(amp * cos(2 * pi() * (c - round(c)))) AS re, sum(amp * sin(2 * pi() * (c - round(c)))) AS im FROM (
   SELECT p, k, amp, -2 * ({_FMIN!r} + k * {_DF!r}) / 299792458e0 * (sqrt(pow(x - ax, 2) + pow(y - ay, 2) + pow(z - az, 2)) - sqrt(ax * ax + ay * ay + az * az)) AS c FROM s, a, (SELECT unnest(range({_K})) AS k)) GROUP BY p, k)"""
 

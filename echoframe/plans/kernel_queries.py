@@ -12,10 +12,10 @@ from .geometry_queries import _DF, _FMIN, _K, _SMALL, _small
 
 
 def _lines(spark, d):
-    return lines.to_lines(r.scene(spark, d).filter("i < 100"))
+    return lines.to_lines(r.scene(spark, d))
 
 
-_X = f"WITH {r.SCENE}, x AS (SELECT i, j, re, im FROM scene WHERE i < 100)"
+_X = f"WITH {r.SCENE}, x AS (SELECT i, j, re, im FROM scene)"
 _TURN = "cos(2 * pi() * {c}) AS c, sin(2 * pi() * {c}) AS s"
 #: Spectra f (i, b, re, im) of the 32-sample lines x.
 _SPECTRUM = f"""{_X}, t AS (SELECT i, unnest(range(32)) AS b, j, re, im FROM x), u AS (SELECT *, {_TURN.format(c="(-(b * j % 32) / 32e0)")} FROM t),

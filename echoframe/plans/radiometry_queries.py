@@ -33,7 +33,7 @@ def _(spark, d):
 @query(
     "pair_baseline",
     r.rounded_sql(
-        """WITH c AS (SELECT s_suppkey AS id, s_nationkey AS k, radians(30 + s_suppkey % 37 / 20e0) AS g FROM supplier), q AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb FROM c a JOIN c b ON a.k = b.k AND a.id < b.id),
+        """WITH c AS (SELECT s_suppkey AS id, s_suppkey // 8 AS k, radians(30 + s_suppkey % 37 / 20e0) AS g FROM supplier), q AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb FROM c a JOIN c b ON a.k = b.k AND a.id < b.id),
 w AS (SELECT *, greatest(9.3e9 * cos(ga), 9.3e9 * cos(gb)) AS lo, least(9.9e9 * cos(ga), 9.9e9 * cos(gb)) AS hi, tan(ga) - tan(gb) AS t FROM q)
 --
 SELECT a, b, greatest(hi - lo, 0) / (6e8 * cos(ga)) AS overlap, degrees(6e8 / 9.6e9 / tan((ga + gb) / 2)) AS critical_graze, CASE WHEN abs(t) > 1e-12 THEN 1 / ((lo + hi) / 299792458e0 * t) END AS height_of_ambiguity FROM w""",
@@ -43,7 +43,8 @@ SELECT a, b, greatest(hi - lo, 0) / (6e8 * cos(ga)) AS overlap, degrees(6e8 / 9.
     ),
 )
 def _(spark, d):
-    c = r.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), (30 + F.col("s_suppkey") % 37 / 20.0).alias("g"))
+    """Pairs of collections of one site; a site has eight at most."""
+    c = r.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 8).alias("k"), (30 + F.col("s_suppkey") % 37 / 20.0).alias("g"))
     a, b = c.alias("a"), c.alias("b")
     met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
     out = radiometry.pair_geometry(F.lit(9.6e9), F.lit(6e8), F.col("a.g"), F.col("b.g"))

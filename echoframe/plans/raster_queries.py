@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cx
 from ..functions.radar import MINIFLOATS, decibels, minifloat
 from ..operators import raster
+from ..operators.order import Ranked, percentile
 from . import rasters as r
 from .catalog import query
 
@@ -119,7 +120,7 @@ SELECT i, j, cos(atan2(xi, xr) - off) AS cosine, sin(atan2(xi, xr) - off) AS sin
 def _(spark, d):
     """Phase of the averaged product less that of the most coherent tenth, as cosine and sine (free of wraps)."""
     g = raster.coherence(r.pair(spark, d), 7, 7)
-    top = raster.with_scalars(g, cut=F.percentile("coherence", F.lit(0.9))).filter("coherence >= cut")
+    top = g.filter(F.col("coherence") >= percentile(g, F.col("coherence"), 0.9))
     met = g.crossJoin(F.broadcast(top.agg(F.atan2(F.sum("xi"), F.sum("xr")).alias("off"))))
     phase = F.atan2("xi", "xr") - F.col("off")
     return r.rounded(met.select("i", "j", F.cos(phase).alias("cosine"), F.sin(phase).alias("sine")), 5)
@@ -190,7 +191,7 @@ def _density_sql(low: float, span: float, halved: bool = False) -> str:
 
 
 def _register_remap(kind: str, sql: str) -> None:
-    query(f"remap_{kind}", sql)(lambda spark, d: raster.remap(_amplitude(spark, d), kind))
+    query(f"remap_{kind}", sql)(lambda spark, d: raster.remap(_amplitude(spark, d), kind, spline=False))
 
 
 for _kind, (_low, _span) in raster.DENSITY.items():
@@ -209,6 +210,12 @@ SELECT i, j, {_BYTE.format("(least(greatest(20 * log10(b), lo), hi) - lo) / (hi
 )
 
 
+@query("remap_nrl_spline")
+def _(spark, d):
+    """The knee at the 99th percentile of the spline through ranks, which SQL cannot express."""
+    return raster.remap(_amplitude(spark, d), "nrl")
+
+
 @query("remap_linear", r.rounded_sql(f"{_AMPLITUDE}\n--\nSELECT i, j, a AS value FROM s", "value", "i j"))
 def _(spark, d):
     return r.rounded(raster.remap(_amplitude(spark, d), "linear"))
@@ -259,8 +266,8 @@ def _(spark, d):
     """Median of mean^2 / variance over the most homogeneous tiles without outliers."""
     p = cx.power(cx.pair("re", "im"))
     tiles = r.scene(spark, d).groupBy(F.floor(F.col("i") / 8), F.floor(F.col("j") / 8)).agg(F.avg(p).alias("m"), F.var_pop(p).alias("v"), F.max(p).alias("x")).filter("x < 6 * m").withColumn("cv", F.sqrt("v") / F.col("m"))
-    met = raster.with_scalars(tiles, cut=F.percentile("cv", F.lit(0.15))).filter("cv <= cut")
-    return r.rounded(met.agg(F.percentile(F.col("m") * F.col("m") / F.col("v"), F.lit(0.5)).alias("looks"), F.count("*").alias("tiles")))
+    met = tiles.filter(F.col("cv") <= percentile(tiles, F.col("cv"), 0.15))
+    return r.rounded(met.agg(F.max(percentile(met, F.col("m") * F.col("m") / F.col("v"), 0.5)).alias("looks"), F.count("*").alias("tiles")))
 
 
 @query("contrast_centroid", r.rounded_sql(f"WITH {r.SCENE}, s AS (SELECT i, j, re * re + im * im AS p FROM scene)\n--\nSELECT stddev_pop(p) / avg(p) AS contrast, sum(i * p * p) / sum(p * p) AS ci, sum(j * p * p) / sum(p * p) AS cj FROM s", "contrast ci cj"))
@@ -292,20 +299,26 @@ def _(spark, d):
 
 @query("noise_floor", r.rounded_sql(f"WITH {r.PAIR}\n--\nSELECT quantile_cont(pa, 0.005) AS floor FROM ({r.box('terms', 'pa', 15, 15)})", "floor"))
 def _(spark, d):
-    return r.rounded(raster.box_mean(raster.cross_terms(r.pair(spark, d)), ["pa"], 15, 15).agg(F.percentile("pa", F.lit(0.005)).alias("floor")))
+    power = raster.box_mean(raster.cross_terms(r.pair(spark, d)), ["pa"], 15, 15)
+    return r.rounded(spark.range(1).select(percentile(power, F.col("pa"), 0.005).alias("floor")))
 
 
 @query("detected_decibels", r.rounded_sql(f"WITH {r.PAIR}, b AS (SELECT i, j, 10 * log10(greatest(pa, 1e-30)) AS db FROM ({r.box('terms', 'pa', 5, 5)}))\n--\nSELECT i, j, least(greatest(db, (SELECT quantile_cont(db, 0.01) FROM b)), (SELECT quantile_cont(db, 0.995) FROM b)) AS db FROM b", "db", "i j"))
 def _(spark, d):
     b = raster.box_mean(raster.cross_terms(r.pair(spark, d)), ["pa"], 5, 5).select("i", "j", decibels(F.col("pa")).alias("db"))
-    met = raster.with_scalars(b, lo=F.percentile("db", F.lit(0.01)), hi=F.percentile("db", F.lit(0.995)))
-    return r.rounded(met.select("i", "j", F.least(F.greatest("db", "lo"), "hi").alias("db")))
+    with Ranked(b, F.col("db")) as ranked:
+        found = ranked.percentiles([0.01, 0.995])
+    return r.rounded(b.select("i", "j", F.least(F.greatest(F.col("db"), F.lit(found[0, 0.01])), F.lit(found[0, 0.995])).alias("db")))
 
 
 @query("order_statistics", r.rounded_sql(f"{_AMPLITUDE}\n--\nSELECT quantile_disc(a, 0.5) AS median, quantile_cont(a, 0.99) AS p99, min(a) AS least, max(a) AS most FROM s", "median p99 least most"))
 def _(spark, d):
     """Exact order statistics of the amplitudes."""
-    return r.rounded(_amplitude(spark, d).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY a)").alias("median"), F.percentile("a", F.lit(0.99)).alias("p99"), F.min("a").alias("least"), F.max("a").alias("most")))
+    with Ranked(_amplitude(spark, d), F.col("a")) as ranked:
+        n, least, most = ranked.groups[0]
+        middle = ranked.at([(0, (n - 1) // 2)])[0, (n - 1) // 2]
+        p99 = ranked.percentiles([0.99])[0, 0.99]
+    return r.rounded(spark.createDataFrame([(middle, p99, least, most)], "median double, p99 double, least double, most double"))
 
 
 @query("block_reductions", r.rounded_sql(f"{_AMPLITUDE}\n--\nSELECT i // 100 AS block, count(*) AS n, sum(a) AS total, min(a) AS least, max(a) AS most FROM s GROUP BY ALL", "total least most", "block n"))

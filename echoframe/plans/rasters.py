@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of each half of the scene in the SQL twins, as in a table of 500 embeddings.
-HALF = 250
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,8 +36,8 @@ def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCENE = """scene AS (
   SELECT vec_id AS i, unnest(range(32)) AS j, CAST(unnest(embedding[1:32]) AS DOUBLE) AS re, CAST(unnest(embedding[33:64]) AS DOUBLE) AS im FROM embeddings
 )"""
-PAIR = f"""{SCENE}, pair AS (
-  SELECT a.i, a.j, a.re AS ar, a.im AS ai, b.re AS br, b.im AS bi FROM scene a JOIN scene b ON b.i = a.i + {HALF} AND b.j = a.j WHERE a.i < {HALF}
+PAIR = f"""{SCENE}, half AS (SELECT (max(vec_id) + 1) // 2 AS half FROM embeddings), pair AS (
+  SELECT a.i, a.j, a.re AS ar, a.im AS ai, b.re AS br, b.im AS bi FROM scene a CROSS JOIN half JOIN scene b ON b.i = a.i + half AND b.j = a.j WHERE a.i < half
 ), terms AS (
   SELECT i, j, ar * br + ai * bi AS xr, ai * br - ar * bi AS xi, ar * ar + ai * ai AS pa, br * br + bi * bi AS pb FROM pair
 )"""

@@ -12,10 +12,10 @@ from .catalog import query
 
 
 def _samples(spark, d):
-    return r.scene(spark, d).filter("i < 200").select(F.col("i").alias("line"), F.col("j").alias("k"), "re", "im")
+    return r.scene(spark, d).select(F.col("i").alias("line"), F.col("j").alias("k"), "re", "im")
 
 
-_SAMPLES = f"WITH {r.SCENE}, x AS (SELECT i AS line, j AS k, re, im FROM scene WHERE i < 200)"
+_SAMPLES = f"WITH {r.SCENE}, x AS (SELECT i AS line, j AS k, re, im FROM scene)"
 
 
 @query("phase_ramp", r.rounded_sql(f"{_SAMPLES}, c AS (SELECT *, -2 * (9.4e9 + k * 2.5e6) / 299792458e0 * (line % 37 * 0.25e0) AS c FROM x), t AS (SELECT *, cos(2 * pi() * (c - round(c))) AS cr, sin(2 * pi() * (c - round(c))) AS ci FROM c)\n--\nSELECT line, k, re * cr - im * ci AS re, re * ci + im * cr AS im FROM t", "re im", "line k"))
@@ -45,10 +45,10 @@ def _(spark, d):
     return r.rounded(signal.dft(_samples(spark, d), 32, [0, 1, 5, 16, 31]))
 
 
-@query("register_lags", r.rounded_sql(f"WITH {r.SCENE}, a AS (SELECT i, j, re * re + im * im AS v FROM scene WHERE i < 300), l AS (SELECT unnest(range(-3, 4)) AS d), b AS (SELECT i - 2 AS i, j + 1 AS j, v FROM a)\n--\nSELECT CAST(x.d AS INTEGER) AS di, CAST(y.d AS INTEGER) AS dj, avg(a.v * b.v) AS c FROM a CROSS JOIN l x CROSS JOIN l y JOIN b ON b.i = a.i + x.d AND b.j = a.j + y.d GROUP BY ALL", "c", "di dj", 9))
+@query("register_lags", r.rounded_sql(f"WITH {r.SCENE}, a AS (SELECT i, j, re * re + im * im AS v FROM scene), l AS (SELECT unnest(range(-3, 4)) AS d), b AS (SELECT i - 2 AS i, j + 1 AS j, v FROM a)\n--\nSELECT CAST(x.d AS INTEGER) AS di, CAST(y.d AS INTEGER) AS dj, avg(a.v * b.v) AS c FROM a CROSS JOIN l x CROSS JOIN l y JOIN b ON b.i = a.i + x.d AND b.j = a.j + y.d GROUP BY ALL", "c", "di dj", 9))
 def _(spark, d):
     """Cross-correlation of a power image with itself displaced by (-2, 1) at whole-pixel lags; the peak is there."""
-    a = r.scene(spark, d).filter("i < 300").select("i", "j", cx.power(cx.pair("re", "im")).alias("v"))
+    a = r.scene(spark, d).select("i", "j", cx.power(cx.pair("re", "im")).alias("v"))
     b = a.select((F.col("i") - 2).alias("i"), (F.col("j") + 1).alias("j"), "v")
     return r.rounded(signal.correlate(a, b, 3), 9)
 
