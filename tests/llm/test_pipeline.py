@@ -1,10 +1,11 @@
 """Every stage against a plain version over the same rows."""
 
+import __spark_entry__
 import corpus_pipeline as c
 import numpy as np
 import public_tokenizers
 import pytest
-from echoframe.llm import importance, queries
+from echoframe.llm import importance
 
 from .test_decontamination import _brute as contaminated
 from .test_jaccard_join import _brute as grouped
@@ -26,7 +27,7 @@ def steps(spark):
 
 def test_names_and_columns(spark, steps):
     assert [s[0] for s in c.STAGES] == ["quality", "lines", "near_duplicates", "benchmark", "packing"]
-    assert queries.QUERIES["pipeline"] is c.run
+    assert __spark_entry__.queries()["pipeline"] is c.run
     for rows in steps[:-1]:
         assert list(rows[0]) == ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,3 +73,20 @@ def test_packing(steps):
 def test_run(spark, steps):
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(key(r.asDict()) for r in c.run(spark, D).collect()) == sorted(map(key, steps[5]))
+
+
+def test_nulls_repeats_long_texts_and_an_empty_table(spark, tmp_path):
+    """Every stage over odd rows: it ends, keeps the columns, and repeats and nulls fare as stated."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{D}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    schema = spark.read.parquet(f"{D}/documents.parquet").schema
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (None, "x y z", "en", None, 5), (4, "word " * 60_000, "en", "s", 300_000)]
+    docs = spark.createDataFrame(odd, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == schema.names
+    ids = sorted(str(r.doc_id) for r in docs.collect())
+    assert ids.count("1") <= 1 and ids.count("3") <= 1 and {"1", "2"} <= set(ids)
+    for _, stage in c.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
