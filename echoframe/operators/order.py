@@ -67,7 +67,7 @@ class Ranked:
         out = {}
         for (g, s), h in ranks.items():
             a, b = read[g, int(np.floor(h))], read[g, int(np.ceil(h))]
-            out[g, s] = a + (h - np.floor(h)) * (b - a)
+            out[g, s] = float(a + (h - np.floor(h)) * (b - a))
         return out
 
 

@@ -27,6 +27,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every module that registers queries."""
-    from . import geometry_queries, kernel_queries, radiometry_queries, raster_queries, signal_queries  # noqa: F401
+    from . import chain_queries, geometry_queries, kernel_queries, radiometry_queries, raster_queries, signal_queries  # noqa: F401
 
     return QUERIES, ORACLE_SQL

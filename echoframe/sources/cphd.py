@@ -1,10 +1,13 @@
 """Compensated phase history files (frequency domain), read as one row a pulse and written from such rows.
 
 A file is a text header of KEY := VALUE lines, an XML block, per-vector
-parameters and the signal array.  Options: ``channel`` (number), ``pulses``
-("first:last"), ``samples`` ("first:last"), ``metadata`` ("true": parameters
-only, the signal is not touched), ``rows`` (pulses a partition).  The driver
-reads header and XML; each partition reads its own range of pulses.
+parameters and the signal array.  Options: ``channel`` (number, identifier or
+polarization), ``pulses`` ("first:last"), ``samples`` ("first:last"),
+``metadata`` ("true": parameters only, the signal is not touched), ``trim``
+("true": pulses without finite positions or signal go from both ends, and
+positions between are read linearly), ``rows`` (pulses a partition).  Samples of
+a file whose phase sign is +1 are conjugated.  The driver reads header and XML;
+each partition reads its own range of pulses.
 """
 
 from __future__ import annotations
@@ -97,9 +100,58 @@ class Layout:
     record: np.dtype
     record_at: int
     signal_at: int
+    conjugate: bool = False
+
+
+def _channel(root: ET.Element, channels: list[ET.Element], wanted: str, path: str) -> int:
+    """A channel by number, identifier or polarization (transmit and receive, such as HV)."""
+    names = [(c.findtext("{*}Identifier") or "").strip() for c in channels]
+    if wanted in names:
+        return names.index(wanted)
+    if wanted.lstrip("-").isdigit():
+        return int(wanted)
+    for p in root.iterfind("{*}Channel/{*}Parameters"):
+        polarization = "".join((p.findtext(f"{{*}}Polarization/{{*}}{k}") or "").strip() for k in ("TxPol", "RcvPol"))
+        name = (p.findtext("{*}Identifier") or "").strip()
+        if polarization and polarization == wanted.replace(":", "") and name in names:
+            return names.index(name)
+    raise ValueError(f"{path}: no channel {wanted}")
+
+
+def support(path: str, name: str) -> np.ndarray:
+    """A support array by its identifier, [rows, columns] in its element format."""
+    header, root = read_header(path), _tree(path)
+    for e in root.iterfind("{*}Data/{*}SupportArray"):
+        if (e.findtext("{*}Identifier") or "").strip() == name:
+            rows, columns, at, width = (int(e.findtext(f"{{*}}{k}") or "0") for k in ("NumRows", "NumCols", "ArrayByteOffset", "BytesPerElement"))
+            kind = next(((d.findtext("{*}ElementFormat") or "").strip() for d in root.iterfind("{*}SupportArray/*") if (d.findtext("{*}Identifier") or "").strip() == name), "")
+            parts = [x.partition("=")[2] or x for x in kind.split(";") if x]
+            if not parts or any(x not in _NUMBER for x in parts):
+                raise ValueError(f"{path}: support array {name} has the unknown format {kind!r}")
+            record = np.dtype([(f"f{k}", _NUMBER[x]) for k, x in enumerate(parts)]) if len(parts) > 1 else np.dtype(_NUMBER[parts[0]])
+            start = _number(path, header, "SUPPORT_BLOCK_BYTE_OFFSET")
+            if record.itemsize != width or at + rows * columns * width > _number(path, header, "SUPPORT_BLOCK_SIZE"):
+                raise ValueError(f"{path}: support array {name} does not fit its block")
+            with open(path, "rb") as f:
+                f.seek(start + at)
+                return np.frombuffer(f.read(rows * columns * width), record).reshape(rows, columns)
+    raise ValueError(f"{path}: no support array {name}")
+
+
+def _tree(path: str) -> ET.Element:
+    header = read_header(path)
+    with open(path, "rb") as f:
+        f.seek(_number(path, header, "XML_BLOCK_BYTE_OFFSET"))
+        raw = f.read(_number(path, header, "XML_BLOCK_SIZE"))
+    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
+        raise ValueError(f"{path}: the XML declares entities")
+    try:
+        return ET.fromstring(raw)
+    except ET.ParseError as error:
+        raise ValueError(f"{path}: the XML cannot be read: {error}") from None
 
 
-def layout(path: str, channel: int) -> Layout:
+def layout(path: str, channel: int | str) -> Layout:
     """Header and XML of a file, checked against its size."""
     import os
 
@@ -109,19 +161,12 @@ def layout(path: str, channel: int) -> Layout:
         at, n = _number(path, header, f"{block}_BLOCK_BYTE_OFFSET"), _number(path, header, f"{block}_BLOCK_SIZE")
         if at + n > size:
             raise ValueError(f"{path}: the {block} block ends beyond the file")
-    with open(path, "rb") as f:
-        f.seek(int(header["XML_BLOCK_BYTE_OFFSET"]))
-        raw = f.read(int(header["XML_BLOCK_SIZE"]))
-    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-        raise ValueError(f"{path}: the XML declares entities")
-    try:
-        root = ET.fromstring(raw)
-    except ET.ParseError as error:
-        raise ValueError(f"{path}: the XML cannot be read: {error}") from None
+    root = _tree(path)
     if (root.findtext("{*}Global/{*}DomainType") or "FX") != "FX":
         raise ValueError(f"{path}: only frequency-domain signals can be read")
     data = root.find("{*}Data")
     channels = [] if data is None else data.findall("{*}Channel")
+    channel = _channel(root, channels, str(channel), path)
     if not 0 <= channel < len(channels):
         raise ValueError(f"{path}: no channel {channel}")
     c = channels[channel]
@@ -135,7 +180,7 @@ def layout(path: str, channel: int) -> Layout:
         record = np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": width})
     except ValueError as error:
         raise ValueError(f"{path}: the parameters do not fit their record: {error}") from None
-    out = Layout(path, (c.findtext("{*}Identifier") or "").strip(), get(c, "NumVectors"), get(c, "NumSamples"), SAMPLES[kind], record, int(header["PVP_BLOCK_BYTE_OFFSET"]) + get(c, "PVPArrayByteOffset"), int(header["SIGNAL_BLOCK_BYTE_OFFSET"]) + get(c, "SignalArrayByteOffset"))
+    out = Layout(path, (c.findtext("{*}Identifier") or "").strip(), get(c, "NumVectors"), get(c, "NumSamples"), SAMPLES[kind], record, int(header["PVP_BLOCK_BYTE_OFFSET"]) + get(c, "PVPArrayByteOffset"), int(header["SIGNAL_BLOCK_BYTE_OFFSET"]) + get(c, "SignalArrayByteOffset"), (root.findtext("{*}Global/{*}SGN") or "-1").strip() in ("1", "+1"))
     if out.record_at + out.pulses * width > size or out.signal_at + out.pulses * out.samples * 2 * np.dtype(out.sample_type).itemsize > size:
         raise ValueError(f"{path}: the arrays end beyond the file")
     return out
@@ -159,11 +204,32 @@ def _bounds(text: str | None, n: int, path: str) -> tuple[int, int]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.layout = layout(options["path"].removeprefix("file:"), int(options.get("channel", 0)))
+        self.layout = layout(options["path"].removeprefix("file:"), options.get("channel", "0"))
         self.pulses = _bounds(options.get("pulses"), self.layout.pulses, self.layout.path)
         self.samples = _bounds(options.get("samples"), self.layout.samples, self.layout.path)
         self.metadata = options.get("metadata", "false").lower() == "true"
         self.rows = int(options.get("rows", 1024))
+        self.trim = options.get("trim", "false").lower() == "true"
+        self.places: dict[str, np.ndarray] = {}
+        if self.trim:
+            lo, hi = self.pulses
+            with open(self.layout.path, "rb") as f:
+                f.seek(self.layout.record_at + lo * self.layout.record.itemsize)
+                r = np.frombuffer(f.read((hi - lo) * self.layout.record.itemsize), self.layout.record)
+            good = np.ones(hi - lo, bool)
+            for name in ("TxPos", "RcvPos", "SRPPos"):
+                if name in self.layout.record.names:
+                    good &= np.isfinite(r[name].astype(np.float64)).all(1)
+            signal = r["SIGNAL"] != 0 if "SIGNAL" in self.layout.record.names else np.ones(hi - lo, bool)
+            some = np.flatnonzero(good & signal)
+            if not len(some):
+                raise ValueError(f"{self.layout.path}: no pulse has finite positions and a signal")
+            at = np.arange(hi - lo)
+            for name in ("TxPos", "RcvPos", "SRPPos"):
+                if name in self.layout.record.names:
+                    v = r[name].astype(np.float64)
+                    self.places[name] = np.stack([np.interp(at, at[good], v[good, c]) for c in range(3)], 1)
+            self.base, self.pulses = lo, (lo + int(some[0]), lo + int(some[-1]) + 1)
 
     def partitions(self) -> list[InputPartition]:
         lo, hi = self.pulses
@@ -182,8 +248,12 @@ class _Reader(DataSourceReader):
                 for k in range(n):
                     f.seek(x.signal_at + (part.first + k) * x.samples * width + lo * width)
                     z = np.frombuffer(f.read((hi - lo) * width), x.sample_type).astype(np.float64).reshape(-1, 2) * scale[k]
-                    vectors["re"][k], vectors["im"][k] = z[:, 0].astype(np.float32), z[:, 1].astype(np.float32)
-        point = lambda name: [v.tolist() for v in r[name].astype(np.float64)] if name in x.record.names else [None] * n
+                    vectors["re"][k], vectors["im"][k] = z[:, 0].astype(np.float32), (-z[:, 1] if x.conjugate else z[:, 1]).astype(np.float32)
+        if self.places:
+            places = {name: v[part.first - self.base : part.last - self.base].tolist() for name, v in self.places.items()}
+        else:
+            places = {}
+        point = lambda name: places[name] if name in places else [v.tolist() for v in r[name].astype(np.float64)] if name in x.record.names else [None] * n
         value = lambda name: r[name].astype(np.float64).tolist() if name in x.record.names else [None] * n
         three, one, many = pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float32())
         sc0 = value("SC0")
