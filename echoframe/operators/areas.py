@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def regions(mask: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(i, j, region) for the pixels (i, j) of a mask: the least pixel number i * 2^31 + j of its 4-connected region.
@@ -14,27 +16,24 @@ def regions(mask: DataFrame, most_rounds: int = 64) -> DataFrame:
     neighbouring lines exchange their least label and point to the label's own label (pointer jumping),
     which ends in a logarithmic number of rounds in practice.  A mask that does not settle is an error.
     """
-    from pyspark.sql import Window
-
     line = Window.partitionBy("i").orderBy("j")
     runs = mask.select("i", "j").distinct().withColumn("run", F.col("j") - F.row_number().over(line))
     runs = runs.groupBy("i", "run").agg(F.min("j").alias("a"), F.max("j").alias("b"))
-    runs = runs.select("i", "a", "b", (F.col("i") * (1 << 31) + F.col("a")).alias("id")).persist()
+    runs = cut(runs.select("i", "a", "b", (F.col("i") * (1 << 31) + F.col("a")).alias("id")))
     below = runs.select((F.col("i") - 1).alias("i"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("other"))
     links = runs.join(below, "i").filter((F.col("c") <= F.col("b")) & (F.col("d") >= F.col("a"))).select("id", "other")
-    links = links.union(links.select("other", "id")).persist()
-    label = runs.select("id", F.col("id").alias("region")).persist()
+    links = cut(links.union(links.select("other", "id")))
+    label = runs.select("id", F.col("id").alias("region"))
+    mark = None
     for _ in range(most_rounds):
         near = links.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("region").alias("least"))
         new = label.join(near, "id", "left").select("id", F.least("region", F.coalesce("least", "region")).alias("region"))
         up = new.select(F.col("id").alias("region"), F.col("region").alias("top"))
-        new = new.join(up, "region").select("id", F.least("region", "top").alias("region")).persist()
-        moved = new.join(label.withColumnRenamed("region", "old"), "id").filter("region < old").isEmpty()
-        label.unpersist()
-        label = new
-        if moved:
-            out = runs.join(label, "id").select("i", F.explode(F.sequence("a", "b")).alias("j"), "region")
-            return out
+        label = cut(new.join(up, "region").select("id", F.least("region", "top").alias("region")))
+        state = label.agg(F.sum(F.col("region").cast("decimal(38,0)"))).first()[0]  # labels only fall
+        if state == mark:
+            return runs.join(label, "id").select("i", F.explode(F.sequence("a", "b")).alias("j"), "region")
+        mark = state
     raise RuntimeError(f"regions: no end after {most_rounds} rounds")
 
 

@@ -62,7 +62,9 @@ def map_statistics(values: DataFrame, name: str) -> DataFrame:
     v = F.col(name)
     with Ranked(values, v) as ranked:
         found = ranked.percentiles([0.5, 0.9])
-    return values.agg(F.lit(found.get((0, 0.5))).cast("double").alias("median"), F.lit(found.get((0, 0.9))).cast("double").alias("p90"), F.avg(v).alias("mean"), F.avg((v > 0.5).cast("double")).alias("above_half"), F.avg((v > 0.7).cast("double")).alias("above_seven_tenths"))
+        rest = ranked.values.agg(F.avg("v"), F.avg((F.col("v") > 0.5).cast("double")), F.avg((F.col("v") > 0.7).cast("double"))).first()
+    row = (found.get((0, 0.5)), found.get((0, 0.9)), *rest)
+    return values.sparkSession.createDataFrame([row], "median double, p90 double, mean double, above_half double, above_seven_tenths double")
 
 
 def displaced(pair: DataFrame, s: int) -> DataFrame:
@@ -169,7 +171,7 @@ def change(pair: DataFrame, window: int = 5) -> DataFrame:
     """
     box = coherence(pair, window, window).withColumn("ratio", decibels(F.col("pb")) - decibels(F.col("pa"))).persist()
     noise = box_mean(cross_terms(pair), ["pa", "pb"], 15, 15).filter((F.col("i") % 4 == 0) & (F.col("j") % 4 == 0))
-    both = noise.select(F.inline(F.array(F.struct(F.lit(0).alias("image"), F.col("pa").alias("p")), F.struct(F.lit(1), F.col("pb")))))
+    both = noise.select(F.inline(F.array(F.struct(F.lit(0).alias("image"), F.col("pa").alias("p")), F.struct(F.lit(1).alias("image"), F.col("pb").alias("p")))))
     with Ranked(both, F.col("p"), F.col("image")) as ranked:
         least = ranked.percentiles([0.005])
     met = box.withColumns({n: F.lit(least.get((k, 0.005))).cast("double") for k, n in enumerate(("na", "nb"))}).withColumn("middle", percentile(box, F.col("ratio"), 0.5))
