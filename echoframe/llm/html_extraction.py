@@ -41,6 +41,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -67,6 +68,7 @@ _REGION_ALONE = {"alert", "feedback", "hidden", "recommended", "recommendations"
 #: First words of names that tell of the layout around a region.
 _LAYOUT = {"no", "with", "without", "has", "is", "overflow"}
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+)>")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _INSIDE = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+")
 #: As deep as browsers nest elements; deeper ones count as part of the innermost.
@@ -87,6 +89,22 @@ def _mark(value: str, article: bool) -> int:
     return found
 
 
+@lru_cache(1 << 16)
+def _opened(name: str, rest: str) -> tuple[str, bool, bool, int, int, bool]:
+    """Of an opening tag: its label in a path, whether it is the main text's, hidden, the mark outside and inside an article, and whether it has no content."""
+    attributes = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(rest)}
+    label = name + ("." + attributes["class"] if attributes.get("class") else "") + ("#" + attributes["id"] if attributes.get("id") else "")
+    main = name in ("article", "main") or attributes.get("role") == "main"
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
+    marks = [max(_mark(attributes.get(a, ""), article) for a in ("class", "id", "role")) for article in (False, True)]
+    return label, main, hidden, *marks, name in _VOID or rest.endswith("/") and name not in _BLOCK
+
+
+@lru_cache(1 << 17)
+def _path(parent: int, label: str) -> int:
+    return _hash(parent, label)
+
+
 def _hash(parent: int, token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), parent & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
@@ -148,8 +166,6 @@ def parse(page: str) -> Page:
         del stack[k:]
 
     def close(some: set[str], stop: set[str]) -> None:
-        if not any(names[n] > 0 for n in some):
-            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in some:
                 flush()
@@ -159,86 +175,85 @@ def parse(page: str) -> Page:
                 return
 
     at, end = 0, len(page)
-    last = {q: page.rfind(q) for q in "\"'"}
     while at < end:
         lt = page.find("<", at)
         if lt != at:
             lt = end if lt < 0 else lt
-            piece, at = page[at:lt], lt
             top = stack[-1]
             if not top.dropped:
-                piece = entities.unescape(piece)
+                piece = page[at:lt]
+                piece = entities.unescape(piece) if "&" in piece else piece
                 text.append(piece)
                 if top.link:
                     links += len(piece)
+            at = lt
             continue
-        if page.startswith("<!--", at):
-            shut_at = page.find("-->", at + 4)
-            at = end if shut_at < 0 else shut_at + 3
-            continue
-        if page.startswith("<![CDATA[", at):
-            shut_at = page.find("]]>", at)
-            if not stack[-1].dropped:
+        m = _TAG.match(page, at)
+        if m:
+            closing, name, rest = m[1], m[2].lower(), m[3]
+            at = m.end()
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            opening, ending = next(((o, e) for o, e in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, at)), ("<!", ">"))
+            shut_at = page.find(ending, at + (4 if ending == "-->" else 0))
+            if ending == "]]>" and not stack[-1].dropped:
                 text.append(page[at + 9 : end if shut_at < 0 else shut_at])
-            at = end if shut_at < 0 else shut_at + 3
+            at = end if shut_at < 0 else shut_at + len(ending)
             continue
-        if page.startswith(("<!", "<?"), at):
-            shut_at = page.find(">", at)
-            at = end if shut_at < 0 else shut_at + 1
-            continue
-        m = _NAME.match(page, at)
-        if not m:
-            if not stack[-1].dropped:
-                text.append("<")
-            at += 1
-            continue
-        inside = _INSIDE.match(page, m.end()).end()
-        if inside < end and page[inside] in last:  # a quote without a partner
-            inside = page.find(">", inside)
-            inside = end if inside < 0 else inside
-        if inside >= end:
-            break  # the page ends within a tag
-        closing, name, rest, at = page[at + 1] == "/", m[1].lower(), page[m.end() : inside], inside + 1
+        else:
+            m = _NAME.match(page, at)
+            if not m:
+                if not stack[-1].dropped:
+                    text.append("<")
+                at += 1
+                continue
+            inside = page.find(">", _INSIDE.match(page, m.end()).end())  # beyond a quote without a partner
+            if inside < 0:
+                break  # the page ends within a tag
+            closing, name, rest = page[at + 1] == "/", m[1].lower(), page[m.end() : inside]
+            at = inside + 1
         if closing:
             if name == "p" and not names["p"]:
                 flush()
+            if not names[name]:
+                continue
             if name in _BLOCK:
                 close({name}, set())
-            elif names[name] > 0:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        if stack[k].dropped and not stack[k - 1].dropped:
-                            text.append(" ")
-                        names[name] -= 1
-                        del stack[k]
-                        break
-                    if stack[k].name in _BLOCK:
-                        break
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == name:
+                    if stack[k].dropped and not stack[k - 1].dropped:
+                        text.append(" ")
+                    names[name] -= 1
+                    del stack[k]
+                    break
+                if stack[k].name in _BLOCK:
+                    break
             continue
         if name in _BLOCK:
             flush()
-            close({"p"}, _SCOPE)
-            if name in _CLOSES:
+            if names["p"]:
+                close({"p"}, _SCOPE)
+            if name in _CLOSES and any(names[n] for n in _CLOSES[name]):
                 close(_CLOSES[name], {"table", "ul", "ol", "dl"} if name != "option" else {"select"})
-        attributes = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(rest)}
+        label, main, hidden, outside, within, empty = _opened(name, rest)
         top = stack[-1]
-        path = _hash(top.path, name + ("." + attributes["class"] if attributes.get("class") else "") + ("#" + attributes["id"] if attributes.get("id") else ""))
+        path = _path(top.path, label)
         out.tokens.append(path)
         out.tags.add(path)
         if name in ("br", "hr"):
             text.append(" ")
-        if name in _VOID or rest.endswith("/") and name not in _BLOCK:
+        if empty:
             continue
-        dropped, main = top.dropped, name in ("article", "main") or attributes.get("role") == "main"
-        if dropped == 1 and main:
-            dropped = 0  # a compound mark around an article tells of the layout
+        dropped = 0 if top.dropped == 1 and main else top.dropped  # a compound mark around an article tells of the layout
         if name in _DROPPED or name in _RAW or (name == "header" and not top.article):
             dropped = 2
         elif name not in ("html", "body", "article", "main"):
-            if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+            if hidden:
                 dropped = 2
-            if not top.article or name in _CONTAINER:
-                dropped = max(dropped, *(_mark(attributes.get(a, ""), top.article) for a in ("class", "id", "role")))
+            elif not top.article:
+                dropped = max(dropped, outside)
+            elif name in _CONTAINER:
+                dropped = max(dropped, within)
         if name in _RAW:
             found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = found.end() if found else end
