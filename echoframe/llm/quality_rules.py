@@ -171,7 +171,8 @@ def covariance_distances(rows: DataFrame, work: Workspace, *, features: dict[str
     signed = signed.select("group", "u", F.greatest(F.aggregate("u", F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-12)).alias("norm"))
     signs = signed.groupBy("group").agg(F.array(*(F.avg(F.get("u", F.lit(i)) * F.get("u", F.lit(j)) / F.col("norm")) for i, j in upper)).alias("signs"))
     now = work.table("estimates-0", scales.join(signs, "group").mapInArrow(_first(p, floor), f"{_KEYS}, mean array<double>, precision array<double>"))
-    before: dict[tuple, float] = {}
+    before: dict[str, float] = {}
+    settled: list[DataFrame] = []
     for k in range(1, most_steps + 1):
         measured = with_group(rows, now).select("group", "start", "rows", "spread", "x", _distance(p).alias("d"))
         cut = measured.groupBy("group", "start").agg(F.percentile_approx("d", share, 2000).alias("cut"))
@@ -181,11 +182,18 @@ def covariance_distances(rows: DataFrame, work: Workspace, *, features: dict[str
         if k == 2:
             lesser = now.groupBy("group").agg(F.min(F.struct("log_det", "start")).alias("best")).select("group", "best.start")
             now = work.table("estimates-best", now.join(lesser, ["group", "start"]))
-        if k >= 2 and few:
+        if k >= 2 and few:  # groups that stand still take no part in further steps
             after = {r.group: r.log_det for r in now.select("group", "log_det").collect()}  # at most MOST_GROUPS rows
-            if before and all(before[g] - after[g] <= 1e-3 for g in after):
-                break
+            moving = [(g,) for g in after if g not in before or before[g] - after[g] > 1e-3]
             before = after
+            falling = F.broadcast(rows.sparkSession.createDataFrame(moving, "group string"))
+            settled.append(now.join(falling, "group", "left_anti"))
+            now = now.join(falling, "group", "left_semi")
+            if not moving:
+                break
+    for done in settled:
+        now = now.unionByName(done)
+    now = work.table("estimates", now)
     measured = with_group(rows, now.drop("spread", "log_det", "start")).withColumn("d", _distance(p))
     scale = work.table("scale", measured.groupBy("group").agg((F.percentile_approx("d", 0.5, 2000) / chi_square(p, 0)).alias("scale")))
     return with_group(measured, scale).withColumn("distance2", F.col("d") / F.greatest("scale", F.lit(1.0))).drop("mean", "precision", "d", "scale")
