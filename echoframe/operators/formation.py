@@ -22,11 +22,22 @@ from ..functions.geodesy import C
 _BLOCK = 8 << 20
 
 
-def _blocks(df: DataFrame, key: str, bytes_each: int, columns: list[str]) -> DataFrame:
-    """Rows dealt by hash to blocks of about ``_BLOCK`` bytes: one row (block, rows) for each."""
-    n = max(1, df.count() * bytes_each // _BLOCK)
-    packed = F.collect_list(F.struct(*columns)).alias("rows")
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(packed)
+def _blocks(df: DataFrame, key: str, bytes_each: int, columns: list[str], rows: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Rows dealt by hash to blocks of about ``_BLOCK`` bytes: one row (block, rows) for each; and the number of blocks.
+
+    ``rows`` is a table of as many rows that costs less to count.  Blocks are much work in few bytes, so their
+    tasks are a number that is kept.
+    """
+    n = max(1, (df if rows is None else rows).count() * bytes_each // _BLOCK)
+    placed = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), *columns)
+    tasks = min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("rows")), n
+
+
+def _paired(pulses: tuple[DataFrame, int], places: tuple[DataFrame, int], name: str) -> DataFrame:
+    """Every block of pulses (mine) with every block of places (``name``); few blocks of places (512 KB each) go to all tasks."""
+    mine, those = pulses[0].select(F.col("rows").alias("mine")), places[0].select(F.col("rows").alias(name))
+    return mine.crossJoin(F.broadcast(those) if places[1] <= min(64, pulses[1]) else those)
 
 
 def _phasors(dr: np.ndarray, fmin: float, df: float, k: int, sign: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,6 +63,7 @@ def simulate(scatterers: DataFrame, pulses: DataFrame, fmin: float, df: float, k
 
     Every pulse (p, ax, ay, az) meets every scatterer, which is what the sum is: blocks of pulses and
     blocks of scatterers are paired, each pair is one NumPy product, and partial sums meet by pulse.
+    Scatterers at one place are one with the sum of their amplitudes.
     """
 
     def echoes(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +78,10 @@ def simulate(scatterers: DataFrame, pulses: DataFrame, fmin: float, df: float, k
 
     few = pulses.select(F.col("p").cast("long").alias("p"), "ax", "ay", "az")
     # a block holds at most 256 pulses, so that [pulse, scatterer] arrays stay below 256 x 16,384 numbers
-    mine = _blocks(few, "p", _BLOCK // 256, ["p", "ax", "ay", "az"]).select(F.col("rows").alias("mine"))
-    scene = _blocks(scatterers.select("x", "y", "z", "amp", F.hash("x", "y", "z", "amp").alias("h")), "h", _BLOCK // 16384, ["x", "y", "z", "amp"]).select(F.col("rows").alias("scene"))
-    sums = mine.crossJoin(scene).mapInArrow(echoes, "p long, re array<double>, im array<double>")
+    mine = _blocks(few, "p", _BLOCK // 256, ["p", "ax", "ay", "az"])
+    places = scatterers.groupBy("x", "y", "z").agg(F.sum("amp").alias("amp"))
+    scene = _blocks(places.select("x", "y", "z", "amp", F.hash("x", "y", "z").alias("h")), "h", _BLOCK // 16384, ["x", "y", "z", "amp"])
+    sums = _paired(mine, scene, "scene").mapInArrow(echoes, "p long, re array<double>, im array<double>")
     each = sums.select("p", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
     return each.groupBy("p", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
 
@@ -91,9 +104,9 @@ def backproject(history: DataFrame, pulses: DataFrame, points: DataFrame, fmin:
 
     row = F.sort_array(F.collect_list(F.struct("k", "re", "im")))
     lines = history.groupBy("p").agg(row.alias("v")).select("p", F.col("v.re").alias("re"), F.col("v.im").alias("im")).join(pulses, "p")
-    mine = _blocks(lines, "p", _BLOCK // 256, ["ax", "ay", "az", "re", "im"]).select(F.col("rows").alias("mine"))
-    at = _blocks(points.select(F.col("id").cast("long").alias("id"), "x", "y", "z"), "id", _BLOCK // 16384, ["id", "x", "y", "z"]).select(F.col("rows").alias("at"))
-    return mine.crossJoin(at).mapInArrow(images, "id long, re double, im double").groupBy("id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    mine = _blocks(lines, "p", _BLOCK // 256, ["ax", "ay", "az", "re", "im"])
+    at = _blocks(points.select(F.col("id").cast("long").alias("id"), "x", "y", "z"), "id", _BLOCK // 16384, ["id", "x", "y", "z"])
+    return _paired(mine, at, "at").mapInArrow(images, "id long, re double, im double").groupBy("id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 _TILE = pa.schema([("ti", pa.int64()), ("tj", pa.int64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])

@@ -42,3 +42,33 @@ def test_image_segments_are_spread_and_whole(spark, folder):
     got = [tuple(r) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert _tasks(out) > 1
+
+
+def _track(n):
+    return np.stack([np.full(n, -8660.254), (np.arange(n) - 4.5) * 2.5, np.full(n, 5000.0)], 1)
+
+
+def test_coincident_scatterers_meet_pulses_once(spark, monkeypatch):
+    """3,000 scatterers at 12 places: the echoes of all, from blocks of the 12, in more than one task."""
+    from echoframe.operators import formation
+
+    at, amp, a = RNG.integers(0, 12, 3000), RNG.random(3000), _track(700)
+    xyz = np.stack([np.arange(12) * 0.4, np.arange(12) * -0.3, np.zeros(12)], 1)
+    f = 9.4e9 + np.arange(4) * 2.5e6
+    dr = np.linalg.norm(xyz[None] - a[:, None], axis=-1) - np.linalg.norm(a, axis=1)[:, None]
+    want = (np.bincount(at, amp, 12) * np.exp(-4j * np.pi / 299792458.0 * dr * f[:, None, None])).sum(-1).T
+    sizes, whole = [], formation._blocks
+
+    def counted(df, key, *rest):
+        sizes.append(df.count())
+        return whole(df, key, *rest)
+
+    monkeypatch.setattr(formation, "_blocks", counted)
+    scatterers = spark.createDataFrame([(*map(float, xyz[k]), float(v)) for k, v in zip(at, amp)], "x double, y double, z double, amp double")
+    pulses = spark.createDataFrame([(p, *map(float, r)) for p, r in enumerate(a)], "p long, ax double, ay double, az double")
+    out = formation.simulate(scatterers.coalesce(1), pulses.coalesce(1), f[0], 2.5e6, 4)
+    got = np.full(want.shape, np.nan, complex)
+    for r in out.collect():
+        got[r.p, r.k] = complex(r.re, r.im)
+    assert np.allclose(got, want, atol=1e-6 * np.abs(want).max())
+    assert sizes == [700, 12]
