@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import C
+from .steps import dealt
 
 
 #: Bytes that a block of pulses or points takes in a task.
@@ -170,7 +171,7 @@ def form_image(lines: DataFrame, *, fmin: float, df: float, nx: int, ny: int, sp
     """
     plan = {"fmin": fmin, "df": df, "nx": nx, "ny": ny, "spx": spx, "spy": spy, "e1": e1, "e2": e2, "tile": tile, "upsample": upsample, "run_bytes": run_bytes}
     schema = "ti long, tj long, re array<double>, im array<double>"
-    tiles = lines.select("ax", "ay", "az", "re", "im").mapInArrow(_tiles(plan), schema).groupBy("ti", "tj").applyInArrow(_sum_tiles, schema)
+    tiles = dealt(lines, "p").select("ax", "ay", "az", "re", "im").mapInArrow(_tiles(plan), schema).groupBy("ti", "tj").applyInArrow(_sum_tiles, schema)
     pixels = tiles.select("ti", "tj", F.posexplode(F.arrays_zip("re", "im")).alias("n", "v"))
     i, j = F.col("ti") * tile + F.floor(F.col("n") / tile), F.col("tj") * tile + F.col("n") % tile
     return pixels.select(i.alias("i"), j.alias("j"), F.col("v.re").alias("re"), F.col("v.im").alias("im")).filter((F.col("i") < nx) & (F.col("j") < ny))

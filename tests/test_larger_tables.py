@@ -1,8 +1,10 @@
 """Queries that larger tables stopped: their whole results by brute force, and how their work is spread."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from echoframe.plans import catalog
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 QUERIES = catalog.load()[0]
@@ -72,3 +74,21 @@ def test_coincident_scatterers_meet_pulses_once(spark, monkeypatch):
         got[r.p, r.k] = complex(r.re, r.im)
     assert np.allclose(got, want, atol=1e-6 * np.abs(want).max())
     assert sizes == [700, 12]
+
+
+def test_pulses_of_one_partition_are_imaged_in_many_tasks(spark, monkeypatch):
+    from echoframe.operators import formation
+
+    def marks(plan):
+        def run(tables):
+            for table in tables:
+                if table.num_rows:
+                    zero = pa.array([np.zeros(plan["tile"] ** 2)])
+                    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([0]), zero, zero], schema=formation._TILE)
+
+        return run
+
+    monkeypatch.setattr(formation, "_tiles", marks)
+    pulses = spark.createDataFrame([(p, *map(float, r), [1.0], [0.0]) for p, r in enumerate(_track(200))], "p long, ax double, ay double, az double, re array<double>, im array<double>").coalesce(1)
+    out = formation.form_image(pulses, fmin=9e9, df=1e6, nx=4000, ny=4, spx=1.0, spy=1.0, tile=4)
+    assert out.select(F.floor(F.col("i") / 4)).distinct().count() > 1
