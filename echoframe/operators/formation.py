@@ -105,7 +105,7 @@ def backproject(history: DataFrame, pulses: DataFrame, points: DataFrame, fmin:
 
     row = F.sort_array(F.collect_list(F.struct("k", "re", "im")))
     lines = history.groupBy("p").agg(row.alias("v")).select("p", F.col("v.re").alias("re"), F.col("v.im").alias("im")).join(pulses, "p")
-    mine = _blocks(lines, "p", _BLOCK // 256, ["ax", "ay", "az", "re", "im"])
+    mine = _blocks(lines, "p", _BLOCK // 256, ["ax", "ay", "az", "re", "im"], pulses)
     at = _blocks(points.select(F.col("id").cast("long").alias("id"), "x", "y", "z"), "id", _BLOCK // 16384, ["id", "x", "y", "z"])
     return _paired(mine, at, "at").mapInArrow(images, "id long, re double, im double").groupBy("id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 

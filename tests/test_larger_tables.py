@@ -92,3 +92,24 @@ def test_pulses_of_one_partition_are_imaged_in_many_tasks(spark, monkeypatch):
     pulses = spark.createDataFrame([(p, *map(float, r), [1.0], [0.0]) for p, r in enumerate(_track(200))], "p long, ax double, ay double, az double, re array<double>, im array<double>").coalesce(1)
     out = formation.form_image(pulses, fmin=9e9, df=1e6, nx=4000, ny=4, spx=1.0, spy=1.0, tile=4)
     assert out.select(F.floor(F.col("i") / 4)).distinct().count() > 1
+
+
+def test_backprojection_counts_its_pulses_without_their_echoes(spark):
+    from echoframe.operators import formation
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(tables):
+        for table in tables:
+            read.add(table.num_rows)
+            yield table
+
+    history = spark.range(300).selectExpr("id as p", "0 as k", "1.0D as re", "0.0D as im").mapInArrow(seen, "p long, k int, re double, im double")
+    pulses = spark.createDataFrame([(p, *map(float, r)) for p, r in enumerate(_track(300))], "p long, ax double, ay double, az double")
+    points = spark.range(5).selectExpr("id", "0.0D as x", "double(id) as y", "0.0D as z")
+    out = formation.backproject(history, pulses, points, 9e9, 1e6)
+    assert read.value == 0
+    dr = np.linalg.norm(np.array([[0, y, 0] for y in range(5)])[None] - _track(300)[:, None], axis=-1) - np.linalg.norm(_track(300), axis=1)[:, None]
+    want = np.exp(4j * np.pi * 9e9 / 299792458.0 * dr).sum(0)
+    assert np.allclose([complex(r.re, r.im) for r in out.orderBy("id").collect()], want, atol=1e-6)
+    assert read.value == 300
