@@ -5,6 +5,7 @@ Echoes meet targets by an interval join on delay; everything along a line is a n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cx
 from ..functions.geodesy import C
 from .lines import corner_turn, map_lines, not_a_knot, sinc_read
+from .steps import dealt
 
 
 def chirp_echoes(targets: DataFrame, pulses: DataFrame, samples: int, *, fs: float, start: float, rate: float, length: float, fc: float, beam: float) -> DataFrame:
@@ -22,16 +24,36 @@ def chirp_echoes(targets: DataFrame, pulses: DataFrame, samples: int, *, fs: flo
     Sample n of a pulse (p, ax, ay, az) stands at delay ``start`` + n / ``fs``; an echo lasts ``length``
     about its delay, so a target makes rows only for the samples it reaches.  A target is in the beam while
     its angle off broadside (the y axis is the track) has a sine of ``beam`` or less.
+
+    Targets at one place are one with the sum of their amplitudes, and pulses sent from one place share their
+    echoes.  Targets meet pulses by strips of y as wide as the beam reaches, and the next strips.
     """
+    targets = targets.groupBy("x", "y", "z").agg(F.sum("amp").alias("amp"))
+    places = dealt(pulses.select("ax", "ay", "az").distinct(), "ax", "ay", "az")
+    wide = _strip(targets, pulses, beam)
+    strip = lambda y: F.floor(F.col(y) / wide) if wide else F.lit(0).cast("long")
+    near = places.select("*", F.explode(F.array(*(strip("ay") + k for k in ((-1, 0, 1) if wide else (0,))))).alias("strip"))
     d = [F.col(x) - F.col(f"a{x}") for x in "xyz"]
-    met = pulses.join(targets, F.abs(F.col("y") - F.col("ay")) <= beam * F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    met = met.select("p", "amp", (2 * F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / C).alias("delay"))
+    met = near.join(targets.select("*", strip("y").alias("strip")), "strip").filter(F.abs(F.col("y") - F.col("ay")) <= beam * F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    met = met.select("ax", "ay", "az", "amp", (2 * F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / C).alias("delay"))
     first = F.greatest(F.ceil((F.col("delay") - length / 2 - start) * fs), F.lit(0))
     last = F.least(F.floor((F.col("delay") + length / 2 - start) * fs), F.lit(samples - 1))
-    each = met.filter(first <= last).select("p", "amp", "delay", F.explode(F.sequence(first, last)).alias("n"))
+    each = met.filter(first <= last).select("ax", "ay", "az", "amp", "delay", F.explode(F.sequence(first, last)).alias("n"))
     t = start + F.col("n") / fs - F.col("delay")
     re, im = cx.turn(0.5 * rate * t * t - fc * F.col("delay"))
-    return each.groupBy("p", "n").agg(F.sum(F.col("amp") * re).alias("re"), F.sum(F.col("amp") * im).alias("im"))
+    echoes = each.groupBy("ax", "ay", "az", "n").agg(F.sum(F.col("amp") * re).alias("re"), F.sum(F.col("amp") * im).alias("im"))
+    return pulses.join(echoes, ["ax", "ay", "az"]).select("p", "n", "re", "im")
+
+
+def _strip(targets: DataFrame, pulses: DataFrame, beam: float) -> float | None:
+    """The farthest along y that a target in the beam is from its pulse; None if nothing bounds it."""
+    ends = lambda *names: [f(n).cast("double").alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]
+    r = targets.agg(*ends("x", "z")).crossJoin(pulses.agg(*ends("ax", "az"))).first().asDict()  # a single row
+    if beam >= 1 or None in r.values():
+        return None
+    across = math.hypot(*(max(r[f"max_{c}"] - r[f"min_a{c}"], r[f"max_a{c}"] - r[f"min_{c}"]) for c in "xz"))
+    far = beam * across / math.sqrt(1 - beam * beam) * (1 + 1e-9)
+    return far if 0 < far < math.inf else None
 
 
 def to_history(compressed: DataFrame, *, fs: float, fc: float, start: float, band: float, reference: Callable[[int], float]) -> DataFrame:

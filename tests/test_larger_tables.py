@@ -113,3 +113,30 @@ def test_backprojection_counts_its_pulses_without_their_echoes(spark):
     want = np.exp(4j * np.pi * 9e9 / 299792458.0 * dr).sum(0)
     assert np.allclose([complex(r.re, r.im) for r in out.orderBy("id").collect()], want, atol=1e-6)
     assert read.value == 300
+
+
+def test_echoes_by_strips_and_by_place(spark):
+    """Targets and pulses of which many share a place, against the sum over all pairs; their pairs are not made."""
+    from echoframe.operators import echo
+
+    targets = [(float(x), float(y), 0.0, float(v)) for x, y, v in zip(RNG.integers(-3, 3, 400) * 5, RNG.integers(0, 30, 400) * 40, RNG.random(400))]
+    pulses = [(p, -8660.254, float(p % 9 * 150), 5000.0) for p in range(45)]
+    t = spark.createDataFrame(targets, "x double, y double, z double, amp double")
+    a = spark.createDataFrame(pulses, "p long, ax double, ay double, az double")
+    how = {"fs": 6e7, "start": 6.62e-5, "rate": 4e13, "length": 1e-6, "fc": 1e9, "beam": 0.01}
+    out = echo.chirp_echoes(t, a, 96, **how)
+    want = np.zeros((45, 96), complex)
+    reached = np.zeros((45, 96), bool)
+    n = np.arange(96)
+    for p, *at in pulses:
+        for *xyz, amp in targets:
+            r = np.linalg.norm(np.subtract(xyz, at))
+            s = how["start"] + n / how["fs"] - 2 * r / 299792458.0
+            inside = (np.abs(s) <= how["length"] / 2) & (abs(xyz[1] - at[1]) <= 0.01 * r)
+            want[p] += np.where(inside, amp * np.exp(2j * np.pi * (0.5 * how["rate"] * s**2 - how["fc"] * 2 * r / 299792458.0)), 0)
+            reached[p] |= inside
+    got = {(r.p, r.n): complex(r.re, r.im) for r in out.collect()}
+    assert set(got) == {(p, k) for p, k in np.argwhere(reached).tolist()}
+    assert all(abs(v - want[p, k]) < 1e-6 for (p, k), v in got.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
