@@ -6,6 +6,7 @@ is a flat map of (tile, history) rows per level, so tiles of every level spread
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,15 +62,17 @@ def range_doppler(echoes: DataFrame, pulses: int, *, fc: float, fs: float, prf:
     return corner_turn(transform(corner_turn(map_lines(doppler, straighten)), inverse=True))
 
 
-def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: int, taps: int = 16) -> tuple[DataFrame, float, float]:
+def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: int, taps: int = 16, track: DataFrame | None = None) -> tuple[DataFrame, float, float]:
     """An image of spotlight pulses (p, ax, ay, az, re array, im array) by polar format, its range axis along the
     mean look on the ground and its azimuth axis across; the pixel spacings in azimuth and range.
 
     Samples lie on a polar grid of wavenumbers.  Each pulse is read at equal steps of range wavenumber, then
     each range wavenumber at equal steps of azimuth wavenumber, and a two-dimensional transform forms the
-    image.  Pulses are few numbers on the driver (their directions); samples stay distributed.
+    image.  Wavenumbers that a pulse does not cover are zero.  Pulses are few numbers on the driver (their
+    directions); samples stay distributed.  ``track`` (p, ax, ay, az) is where the
+    directions are read if that costs less than the pulses do.
     """
-    at = {r.p: np.array([r.ax, r.ay, r.az]) for r in pulses.select("p", "ax", "ay", "az").collect()}
+    at = {r.p: np.array([r.ax, r.ay, r.az]) for r in (pulses if track is None else track).select("p", "ax", "ay", "az").collect()}
     look = {p: -a / np.linalg.norm(a) for p, a in at.items()}
     ids = sorted(look)
     mean = np.mean([look[p] for p in ids], 0)
@@ -78,8 +81,11 @@ def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: in
     kr = {p: 2 / C * (look[p] @ range_axis) for p in ids}  # range wavenumber (cycles a metre) for each Hz
     slope = {p: (look[p] @ across) / (look[p] @ range_axis) for p in ids}
     low, high = max(fmin * v for v in kr.values()), min((fmin + (k - 1) * df) * v for v in kr.values())
+    if not low < high and k > 1:  # a track so long that its pulses share no band: the whole of what they cover, at their spacing
+        low, high = min(fmin * v for v in kr.values()), max((fmin + (k - 1) * df) * v for v in kr.values())
+        k = math.ceil((high - low) / (df * min(kr.values()))) + 1
     if not low < high:
-        raise ValueError("the pulses share no band of range wavenumbers")
+        raise ValueError("the pulses span no band of range wavenumbers")
     grid = np.linspace(low, high, k)
     steep = np.array([slope[p] for p in ids])
     order = np.argsort(steep)
@@ -92,8 +98,8 @@ def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: in
         return sinc_read(z, (grid / kr[line] - fmin) / df, taps)
 
     read = map_lines(pulses.select(F.col("p").cast("long").alias("line"), "re", "im"), along)
-    renumber = F.create_map(*(F.lit(v) for pair in place.items() for v in pair))
-    read = read.select(renumber[F.col("line")].cast("long").alias("line"), "re", "im")
+    places = pulses.sparkSession.createDataFrame(list(place.items()), "line long, place long")
+    read = read.join(F.broadcast(places), "line").select(F.col("place").alias("line"), "re", "im")
 
     def cross(line: int, z: np.ndarray) -> np.ndarray:
         want = azimuth / grid[line]

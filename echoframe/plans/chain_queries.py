@@ -123,8 +123,8 @@ def _(spark, d):
 @query("polar_format_image")
 def _(spark, d):
     """An image of the same pulses by polar format."""
-    pulses = _pulses(spark, d)
-    return r.rounded(lines.to_pixels(focus.polar_format(pulses, fmin=_FMIN, df=_DF, k=_K, count=pulses.count())[0]), 3)
+    track = _small(spark, d)[1]
+    return r.rounded(lines.to_pixels(focus.polar_format(_pulses(spark, d), fmin=_FMIN, df=_DF, k=_K, count=track.count(), track=track)[0]), 3)
 
 
 def _stripmap(spark, n: int, m: int):

@@ -140,3 +140,24 @@ def test_echoes_by_strips_and_by_place(spark):
     assert all(abs(v - want[p, k]) < 1e-6 for (p, k), v in got.items())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_polar_format_of_many_pulses_reads_them_once(spark):
+    from echoframe.operators import focus
+
+    n, read = 3000, spark.sparkContext.accumulator(0)
+
+    def seen(tables):
+        for table in tables:
+            read.add(table.num_rows)
+            yield table
+
+    track = spark.createDataFrame([(p, *map(float, r)) for p, r in enumerate(_track(n) - [0, n * 1.25, 0])], "p long, ax double, ay double, az double")
+    pulses = track.selectExpr("*", "array_repeat(1.0D, 8) re", "array_repeat(0.0D, 8) im").mapInArrow(seen, "p long, ax double, ay double, az double, re array<double>, im array<double>")
+    image, _, _ = focus.polar_format(pulses, fmin=9.4e9, df=2.5e6, k=8, count=n, track=track)
+    assert read.value == 0 and len(image._jdf.queryExecution().analyzed().toString()) < 100_000
+    power = np.array([np.square(r.re) + np.square(r.im) for r in image.orderBy("line").collect()])
+    assert read.value == n
+    wide = power.shape[1]  # 3,000 pulses share no band of 20 MHz, so the image has the wavenumbers of them all
+    assert len(power) == n and wide > 8
+    assert np.unravel_index(power.argmax(), power.shape) == (n // 2, wide // 2)
