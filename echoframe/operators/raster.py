@@ -17,13 +17,16 @@ from .lines import spline_percentile
 from .order import Ranked, percentile
 
 
-def multilook(pixels: DataFrame, la: int, lr: int, values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """Means over la x lr boxes; incomplete boxes at the far edges are dropped."""
+def multilook(pixels: DataFrame, la: int, lr: int, values: dict[str, Column], by: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
+    """Means over la x lr boxes; incomplete boxes at the far edges are dropped, or kept if not ``whole``."""
+    keys = [*by, F.floor(F.col("i") / la).alias("bi"), F.floor(F.col("j") / lr).alias("bj")]
+    means = [F.avg(v).alias(n) for n, v in values.items()]
+    if not whole:
+        return pixels.groupBy(*keys).agg(*means)
     size = pixels.groupBy(*by).agg((F.max("i") + 1).alias("_nx"), (F.max("j") + 1).alias("_ny"))
     met = pixels.join(F.broadcast(size), list(by)) if by else pixels.crossJoin(F.broadcast(size))  # one row for each image
     inside = met.filter((F.col("i") < F.col("_nx") - F.col("_nx") % la) & (F.col("j") < F.col("_ny") - F.col("_ny") % lr))
-    keys = [*by, F.floor(F.col("i") / la).alias("bi"), F.floor(F.col("j") / lr).alias("bj")]
-    return inside.groupBy(*keys).agg(*(F.avg(v).alias(n) for n, v in values.items()))
+    return inside.groupBy(*keys).agg(*means)
 
 
 def _frame_mean(df: DataFrame, names: list[str], along: str, across: list[str], width: int) -> DataFrame:

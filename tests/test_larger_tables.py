@@ -161,3 +161,12 @@ def test_polar_format_of_many_pulses_reads_them_once(spark):
     wide = power.shape[1]  # 3,000 pulses share no band of 20 MHz, so the image has the wavenumbers of them all
     assert len(power) == n and wide > 8
     assert np.unravel_index(power.argmax(), power.shape) == (n // 2, wide // 2)
+
+
+def test_pauli_keeps_boxes_at_the_edge(spark, folder):
+    z = RNG.normal(size=(10, 64)).astype(np.float32)  # halves of five lines: the last box has one
+    d = folder(embeddings=spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(z)], "vec_id long, embedding array<float>"))
+    c = z.astype(float)[:, :32] + 1j * z.astype(float)[:, 32:]
+    p = np.abs(c[:5] + c[5:]) ** 2 / 2
+    got = {(r.bi, r.bj): r.surface for r in QUERIES["pauli"](spark, d).collect()}
+    assert got == pytest.approx({(i, j): p[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean() for i in range(3) for j in range(16)}, abs=2e-6)
