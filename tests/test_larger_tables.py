@@ -170,3 +170,18 @@ def test_pauli_keeps_boxes_at_the_edge(spark, folder):
     p = np.abs(c[:5] + c[5:]) ** 2 / 2
     got = {(r.bi, r.bj): r.surface for r in QUERIES["pauli"](spark, d).collect()}
     assert got == pytest.approx({(i, j): p[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean() for i in range(3) for j in range(16)}, abs=2e-6)
+
+
+def test_lags_across_tiles_without_a_join_of_pixels(spark):
+    from echoframe.operators import signal
+
+    i, j = RNG.integers(-300, 600, 4000), RNG.integers(250, 262, 4000)
+    a = {(int(x), int(y)): float(v) for x, y, v in zip(i, j, RNG.random(4000))}
+    b = {(x - 2, y + 1): v for (x, y), v in a.items()}
+    frame = lambda z: spark.createDataFrame([(*at, v) for at, v in z.items()], "i long, j long, v double")
+    out = signal.correlate(frame(a), frame(b), 3)
+    for r in out.collect():
+        terms = [v * b[x + r.di, y + r.dj] for (x, y), v in a.items() if (x + r.di, y + r.dj) in b]
+        assert r.c == pytest.approx(np.mean(terms), abs=1e-12)
+    assert out.count() == 49
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
