@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import C
 from .lines import SCHEMA, corner_turn, half_level, map_lines, sinc_read, window
 from .signal import kaiser_decimator
+from .steps import dealt
 
 
 def transform(lines: DataFrame, inverse: bool = False) -> DataFrame:
@@ -148,23 +149,25 @@ def _decimated(z: np.ndarray, taps: np.ndarray, step: int) -> np.ndarray:
     return step * (view @ taps)
 
 
-def factorized(pulses: DataFrame, grid: Grid, *, fmin: float, df: float, k: int, tile: int = 16, split: int = 2, passband: float = 0.6) -> DataFrame:
+def factorized(pulses: DataFrame, grid: Grid, *, fmin: float, df: float, k: int, tile: int = 16, split: int = 2, passband: float = 0.6, track: DataFrame | None = None) -> DataFrame:
     """Pixels (i, j, re, im) from pulses (p, ax, ay, az, re array, im array) by factorised backprojection.
 
     A level cuts each tile by ``split`` on both axes.  The history of a child is turned to its centre, which
     narrows its band in frequency and in pulses to its size; both are filtered and decimated as far as the
     band allows.  Tiles of ``tile`` pixels are summed directly from what is left.  A level is two exchanges
-    by tile; the history of one tile is what a task holds.
+    by tile; the history of one tile is what a task holds.  ``track`` (p, ax, ay, az) is where the places of the
+    pulses are read if that costs less than the pulses do.
     """
+    known = pulses if track is None else track
     levels, size = [], max(grid.nx, grid.ny)
     while size > tile:
         size = -(-size // split)
         levels.append(size)
-    work = pulses.select(F.lit(0).cast("long").alias("ti"), F.lit(0).cast("long").alias("tj"), F.col("p").cast("double").alias("p"), F.lit(0.0).alias("f"), F.array("ax", "ay", "az").alias("a"), "re", "im")
+    work = dealt(pulses, "p").select(F.lit(0).cast("long").alias("ti"), F.lit(0).cast("long").alias("tj"), F.col("p").cast("double").alias("p"), F.lit(0.0).alias("f"), F.array("ax", "ay", "az").alias("a"), "re", "im")
     at, n, parent = (fmin, df), k, max(grid.nx, grid.ny)
-    spread = pulses.agg(F.max(F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))).first()[0]
-    track = np.array([[r.ax, r.ay, r.az] for r in pulses.orderBy("p").select("ax", "ay", "az").collect()])
-    turn = float(np.linalg.norm(np.diff(track, axis=0), axis=1).max()) / spread if len(track) > 1 else 0.0
+    spread = known.agg(F.max(F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))).first()[0]
+    path = np.array([[r.ax, r.ay, r.az] for r in known.orderBy("p").select("ax", "ay", "az").collect()])
+    turn = float(np.linalg.norm(np.diff(path, axis=0), axis=1).max()) / spread if len(path) > 1 else 0.0
     for size in levels:
         radius = grid.radius(size)
         by_frequency = max(1, int(passband * C / (4 * at[1] * radius)))
@@ -185,15 +188,23 @@ def factorized(pulses: DataFrame, grid: Grid, *, fmin: float, df: float, k: int,
     return pixels.select(i.alias("i"), j.alias("j"), F.col("v.re").alias("re"), F.col("v.im").alias("im")).filter((F.col("i") < grid.nx) & (F.col("j") < grid.ny))
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(k)), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def _rows(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    z = np.array([x.values.to_numpy() for x in table.column("re")]) + 1j * np.array([x.values.to_numpy() for x in table.column("im")])
-    return z, np.array([x.values.to_numpy() for x in table.column("a")]), table.column("p").to_numpy()
+    return _matrix(table.column("re")) + 1j * _matrix(table.column("im")), _matrix(table.column("a")), table.column("p").to_numpy()
 
 
 def _patch(ti: int, tj: int, p: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
     n = len(p)
-    three = lambda v: pa.array(list(v), pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array([ti] * n, pa.int64()), pa.array([tj] * n, pa.int64()), pa.array(p, pa.float64()), pa.array(np.zeros(n)), three(a), three(z.real), three(z.imag)], schema=_PATCH)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, ti)), pa.array(np.full(n, tj)), pa.array(p, pa.float64()), pa.array(np.zeros(n)), _lists(a), _lists(z.real), _lists(z.imag)], schema=_PATCH)
 
 
 def _by_tile(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -243,6 +254,10 @@ def _fewer(step: int, passband: float):
     return run
 
 
+#: Pairs of a pulse and a pixel that are summed at once.
+_PAIRS = 1 << 15
+
+
 def _finished(grid: Grid, size: int, at: tuple[float, float]):
     """The direct sum over what is left of the history of a small tile."""
     schema = pa.schema([("ti", pa.int64()), ("tj", pa.int64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
@@ -255,14 +270,17 @@ def _finished(grid: Grid, size: int, at: tuple[float, float]):
             whole = size >= max(grid.nx, grid.ny)
             center = grid.center(ti, tj, size)
             total = np.zeros(len(x), np.complex128)
-            for antenna, line in zip(a, z, strict=True):
+            many = max(1, _PAIRS // len(x))  # pulses at once
+            for n in range(0, len(z), many):
+                antenna, samples = a[n : n + many, None], z[n : n + many]
                 dr = _toward(antenna, x) - (0 if whole else _toward(antenna, center))
                 step = np.exp(4j * np.pi / C * at[1] * dr)
-                value = np.zeros(len(x), np.complex128)
-                for sample in line[::-1]:
-                    value = value * step + sample
+                value = np.zeros(dr.shape, np.complex128)
+                for k in range(samples.shape[1])[::-1]:
+                    value *= step
+                    value += samples[:, k, None]
                 cycles = 2 / C * at[0] * dr
-                total += value * np.exp(2j * np.pi * (cycles - np.rint(cycles)))
+                total += (value * np.exp(2j * np.pi * (cycles - np.rint(cycles)))).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([ti]), pa.array([tj]), pa.array([total.real]), pa.array([total.imag])], schema=schema)
 
     return run

@@ -117,7 +117,7 @@ def _side(spark, d) -> int:
 def _(spark, d):
     """An image whose size follows the tables, by factorised backprojection (tests hold it against the direct sum)."""
     n = _side(spark, d)
-    return r.rounded(focus.factorized(_pulses(spark, d), focus.Grid(n, n, 0.5, 0.5), fmin=_FMIN, df=_DF, k=_K, tile=16), 3)
+    return r.rounded(focus.factorized(_pulses(spark, d), focus.Grid(n, n, 0.5, 0.5), fmin=_FMIN, df=_DF, k=_K, tile=16, track=_small(spark, d)[1]), 3)
 
 
 @query("polar_format_image")

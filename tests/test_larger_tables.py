@@ -185,3 +185,20 @@ def test_lags_across_tiles_without_a_join_of_pixels(spark):
         assert r.c == pytest.approx(np.mean(terms), abs=1e-12)
     assert out.count() == 49
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_factors_read_pulses_once_if_their_track_is_known(spark):
+    from echoframe.operators import focus
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(tables):
+        for table in tables:
+            read.add(table.num_rows)
+            yield table
+
+    track = spark.createDataFrame([(p, *map(float, r)) for p, r in enumerate(_track(20))], "p long, ax double, ay double, az double")
+    pulses = track.selectExpr("*", "array_repeat(1.0D, 8) re", "array_repeat(0.0D, 8) im").mapInArrow(seen, "p long, ax double, ay double, az double, re array<double>, im array<double>")
+    out = focus.factorized(pulses, focus.Grid(8, 8, 0.5, 0.5), fmin=9.4e9, df=2.5e6, k=8, tile=8, track=track)
+    assert read.value == 0
+    assert out.count() == 64 and read.value == 20
