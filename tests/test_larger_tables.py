@@ -202,3 +202,14 @@ def test_factors_read_pulses_once_if_their_track_is_known(spark):
     out = focus.factorized(pulses, focus.Grid(8, 8, 0.5, 0.5), fmin=9.4e9, df=2.5e6, k=8, tile=8, track=track)
     assert read.value == 0
     assert out.count() == 64 and read.value == 20
+
+
+def test_overlaps_are_spread_and_whole(spark, folder):
+    keys = range(300)
+    d = folder(customer=spark.createDataFrame([(k, k % 2) for k in keys], "c_custkey long, c_nationkey int"))
+    out = QUERIES["support_overlap"](spark, d)
+    span = {k: (k % 90, k % 90 + 10 + k % 7) for k in keys}
+    want = {(a, b) for a in keys for b in keys if a < b and (a - b) % 2 == 0 and span[a][0] < span[b][1] and span[b][0] < span[a][1]}
+    got = [(r.a, r.b) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert _tasks(out) > 1
