@@ -32,12 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import BY_SIGNS, U, chain, distinct, lower_utf8, mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
-from .store import Workspace
+from .store import Workspace, small_batches
 
 _PARTS = 16
 _KINDS = ("words", "pairs")
@@ -195,16 +194,17 @@ class Resampler:
         source = docs.select(F.col("doc_id").cast("long"), "text")
         return source.mapInArrow(_score(self.labels, self.models, self.bits, self.seed), "doc_id long, label boolean, log_weight double, key double")
 
-    def reaches(self, docs: DataFrame, cut: float) -> DataFrame:
-        """The rows of ``docs`` with a key of ``cut`` or more; only doc_id and text go through Python."""
+    def weighed(self, docs: DataFrame) -> DataFrame:
+        """Every row of ``docs`` whole, as ``row``, with its label and key; only doc_id and text go through Python."""
         score = _score(self.labels, self.models, self.bits, self.seed)
 
-        @F.arrow_udf("boolean")
-        def reached(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+        @F.arrow_udf("struct<label: boolean, key: double>")
+        def weigh(doc_id: pa.Array, text: pa.Array) -> pa.Array:
             (scored,) = score([pa.RecordBatch.from_arrays([doc_id, text], names=["doc_id", "text"])])
-            return pc.greater_equal(scored.column("key"), cut)
+            return pa.StructArray.from_arrays([scored.column("label"), scored.column("key")], names=["label", "key"])
 
-        return docs.filter(reached(F.col("doc_id").cast("long"), F.col("text")))
+        out = docs.select(F.struct("*").alias("row"), weigh(F.col("doc_id").cast("long"), F.col("text")).alias("weight"))
+        return out.select("row", "weight.label", "weight.key")
 
 
 def kth_key(keys: DataFrame, k: int, cells: int = 4096) -> float:
@@ -256,11 +256,13 @@ def _cut(scored: DataFrame, recall: float, k: int | None) -> float:
 def keep_selected(docs: DataFrame, labels: DataFrame, *, recall: float = 0.985, k: int | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that resample() selects, all columns kept (any name is free).
 
-    Texts are weighed again in place of being exchanged.  Nulls, blank texts, repeated rows, ties and
-    empty tables are as in resample().
+    Texts are weighed once: the rows are written with their keys and read again from the cut on.  Nulls,
+    blank texts, repeated rows, ties and empty tables are as in resample().
     """
     work = Workspace(docs.sparkSession, "resample")
-    sampler = Resampler(docs, labels, **options)
-    cut = _cut(work.table("scored", sampler.score(docs)), recall, k)
-    work.drop("scored")
-    return sampler.reaches(docs, cut)
+    with small_batches(docs.sparkSession):
+        sampler = Resampler(docs, labels, **options)
+        weighed = work.table("weighed", sampler.weighed(docs))
+    sampler.release()
+    cut = _cut(weighed, recall, k)
+    return weighed.filter(F.col("key") >= F.lit(cut)).select("row.*")

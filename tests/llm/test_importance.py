@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from echoframe.llm import importance as m
+from echoframe.llm.store import small_batches
 
 
 def _corpus(n=400):
@@ -125,3 +127,30 @@ def test_exact_k_and_defined_edges(spark):
     assert all(m.kth_key(many, k) == values[k - 1] for k in (1, 5, 500, 1000))
     with pytest.raises(ValueError):
         m.kth_key(many, 0)
+
+
+def test_kept_rows_are_weighed_once_and_in_small_batches(spark, monkeypatch):
+    """The rows of resample(), whatever their columns; what is returned sends no text to Python again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows, labels = _corpus()
+    docs = spark.createDataFrame([(*r, 1, 2.0, "x") for r in rows], "doc_id long, text string, row int, key double, `a.b` string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    before, inside = spark.conf.get(name), []
+    weighed = m.Resampler.weighed
+    monkeypatch.setattr(m.Resampler, "weighed", lambda *a: inside.append(spark.conf.get(name)) or weighed(*a))
+    out = m.keep_selected(docs, labels)
+    assert inside == ["1000"] and spark.conf.get(name) == before
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.schema == docs.schema
+    want = {r.doc_id for r in m.resample(docs, labels).collect() if r.selected}
+    assert sorted(out.collect()) == sorted(r for r in docs.collect() if r.doc_id in want) and 0 < len(want) < len(rows)
+
+
+def test_small_batches(spark):
+    def sizes(tables):
+        for t in tables:
+            yield pa.RecordBatch.from_pydict({"id": [t.num_rows]})
+
+    with small_batches(spark):
+        assert max(r.id for r in spark.range(0, 4500, 1, 1).mapInArrow(sizes, "id long").collect()) == 1000
+    assert max(r.id for r in spark.range(0, 4500, 1, 1).mapInArrow(sizes, "id long").collect()) == 4500
