@@ -213,3 +213,12 @@ def test_overlaps_are_spread_and_whole(spark, folder):
     got = [(r.a, r.b) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert _tasks(out) > 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("block_starts", 0.5)])
+def test_steps_take_little_disk(spark, folder, tmp_path, name, most):
+    """Rows come in an order that encodes well: bytes of a row as Parquet (row after row of the table it takes several times as many)."""
+    d = folder(part=spark.createDataFrame([(k, 1 + k % 2 * 40) for k in range(1_000_000, 1_000_040)], "p_partkey long, p_size int"))
+    QUERIES[name](spark, d).write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < most * spark.read.parquet(f"{tmp_path}/out").count()
