@@ -1,7 +1,7 @@
 """Image formation by transforms and factors, as DataFrame stages on lines (line, re array, im array).
 
 A stage along a line is narrow; a change of axis is one ``corner_turn``.  Factorised backprojection
-is a flat map of (tile, history) rows per level, so tiles of every level spread over the cluster.
+sends the pulses to tiles once; all levels below are one task's.
 """
 
 from __future__ import annotations
@@ -110,8 +110,9 @@ def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: in
     return image, 1 / ((azimuth[1] - azimuth[0]) * count), 1 / ((grid[1] - grid[0]) * k)
 
 
-_PATCH = pa.schema([("ti", pa.int64()), ("tj", pa.int64()), ("p", pa.float64()), ("f", pa.float64()), ("a", pa.list_(pa.float64())), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
-_PATCH_SQL = "ti long, tj long, p double, f double, a array<double>, re array<double>, im array<double>"
+_IMAGE = pa.schema([("ti", pa.int64()), ("tj", pa.int64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
+#: Tiles that the pulses of factorised backprojection are sent to, at least, if there are as many.
+_STARTS = 64
 
 
 class Grid:
@@ -154,37 +155,44 @@ def factorized(pulses: DataFrame, grid: Grid, *, fmin: float, df: float, k: int,
 
     A level cuts each tile by ``split`` on both axes.  The history of a child is turned to its centre, which
     narrows its band in frequency and in pulses to its size; both are filtered and decimated as far as the
-    band allows.  Tiles of ``tile`` pixels are summed directly from what is left.  A level is two exchanges
-    by tile; the history of one tile is what a task holds.  ``track`` (p, ax, ay, az) is where the places of the
+    band allows.  Tiles of at most ``tile`` pixels are summed directly from what is left.  The pulses go once to each of
+    a few dozen tiles, and a task goes down to the small ones from there, one after the other; it holds the
+    history of one tile of each level.  ``track`` (p, ax, ay, az) is where the places of the
     pulses are read if that costs less than the pulses do.
     """
     known = pulses if track is None else track
-    levels, size = [], max(grid.nx, grid.ny)
-    while size > tile:
-        size = -(-size // split)
-        levels.append(size)
-    work = dealt(pulses, "p").select(F.lit(0).cast("long").alias("ti"), F.lit(0).cast("long").alias("tj"), F.col("p").cast("double").alias("p"), F.lit(0.0).alias("f"), F.array("ax", "ay", "az").alias("a"), "re", "im")
-    at, n, parent = (fmin, df), k, max(grid.nx, grid.ny)
+    depth = 0
+    while -(-max(grid.nx, grid.ny) // split**depth) > tile:
+        depth += 1
+    small = -(-max(grid.nx, grid.ny) // split**depth)  # sizes are multiples of it, so that tiles of all levels have the same edges
+    at, n = (fmin, df), k
     spread = known.agg(F.max(F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))).first()[0]
     path = np.array([[r.ax, r.ay, r.az] for r in known.orderBy("p").select("ax", "ay", "az").collect()])
     turn = float(np.linalg.norm(np.diff(path, axis=0), axis=1).max()) / spread if len(path) > 1 else 0.0
-    for size in levels:
+    levels = []
+    for size in (small * split**d for d in range(depth)[::-1]):
         radius = grid.radius(size)
         by_frequency = max(1, int(passband * C / (4 * at[1] * radius)))
         by_pulse = max(1, int(passband * C / (4 * (at[0] + n * at[1]) * radius * turn))) if turn else 1
         by_frequency, by_pulse = min(by_frequency, max(1, n // 8)), min(by_pulse, 8)
-        work = work.mapInArrow(_children(grid, parent, size, split, at, n, by_frequency, passband), _PATCH_SQL)
-        if by_pulse > 1:
-            work = work.groupBy("ti", "tj").applyInArrow(_fewer(by_pulse, passband), _PATCH_SQL)
-            turn *= by_pulse
+        levels.append((size, at[0] + np.arange(n) * at[1], by_frequency, by_pulse))
+        turn *= by_pulse
         more = _beyond(len(kaiser_decimator(by_frequency, passband, 60.0)), by_frequency) if by_frequency > 1 else 0
-        n, at, parent = -(-(n + 2 * more) // by_frequency), (at[0] - more * at[1], at[1] * by_frequency), size
-    final = work.mapInArrow(_finished(grid, parent, at), "ti long, tj long, re array<double>, im array<double>")
-    from .formation import _sum_tiles
-
-    summed = final.groupBy("ti", "tj").applyInArrow(_sum_tiles, "ti long, tj long, re array<double>, im array<double>")
-    pixels = summed.select("ti", "tj", F.posexplode(F.arrays_zip("re", "im")).alias("n", "v"))
-    i, j = F.col("ti") * parent + F.floor(F.col("n") / parent), F.col("tj") * parent + F.col("n") % parent
+        n, at = -(-(n + 2 * more) // by_frequency), (at[0] - more * at[1], at[1] * by_frequency)
+    rows = dealt(pulses, "p").select(F.col("p").cast("double").alias("p"), F.array("ax", "ay", "az").alias("a"), "re", "im")
+    schema = "ti long, tj long, re array<double>, im array<double>"
+    if depth:
+        first = next((d for d in range(1, depth) if split ** (2 * d) >= _STARTS), depth)
+        size = levels[first - 1][0]
+        starts = [F.struct(F.lit(i).cast("long").alias("ti"), F.lit(j).cast("long").alias("tj")) for i in range(-(-grid.nx // size)) for j in range(-(-grid.ny // size))]
+        each = rows.select(F.explode(F.array(*starts)).alias("t"), "*").select("t.ti", "t.tj", "p", "a", "re", "im")
+        tiles = dealt(each, "ti", "tj").groupBy("ti", "tj").applyInArrow(_descended(grid, levels, first, split, passband, at), schema)
+    else:
+        from .formation import _sum_tiles
+
+        tiles = rows.mapInArrow(_finished(grid, small, at), schema).groupBy("ti", "tj").applyInArrow(_sum_tiles, schema)
+    pixels = tiles.select("ti", "tj", F.posexplode(F.arrays_zip("re", "im")).alias("n", "v"))
+    i, j = F.col("ti") * small + F.floor(F.col("n") / small), F.col("tj") * small + F.col("n") % small
     return pixels.select(i.alias("i"), j.alias("j"), F.col("v.re").alias("re"), F.col("v.im").alias("im")).filter((F.col("i") < grid.nx) & (F.col("j") < grid.ny))
 
 
@@ -193,95 +201,80 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    n, k = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(k)), pa.array(np.ascontiguousarray(rows).ravel()))
-
-
 def _rows(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _matrix(table.column("re")) + 1j * _matrix(table.column("im")), _matrix(table.column("a")), table.column("p").to_numpy()
 
 
-def _patch(ti: int, tj: int, p: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-    n = len(p)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, ti)), pa.array(np.full(n, tj)), pa.array(p, pa.float64()), pa.array(np.zeros(n)), _lists(a), _lists(z.real), _lists(z.imag)], schema=_PATCH)
-
-
-def _by_tile(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    for table in tables:
-        keys = table.column("ti").to_numpy() << 32 | table.column("tj").to_numpy()
-        for key in np.unique(keys):
-            yield int(key >> 32), int(key & 0xFFFFFFFF), table.filter(pa.array(keys == key))
+def _descended(grid: Grid, levels: list, first: int, split: int, passband: float, at: tuple[float, float]):
+    """The small tiles below one tile of level ``first``, from the pulses as they came."""
 
+    def below(ti: int, tj: int, p: np.ndarray, a: np.ndarray, z: np.ndarray, depth: int, way: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        if depth == len(levels):
+            yield ti, tj, _direct(grid, levels[-1][0], at, ti, tj, a, z)
+            return
+        size, f, by_frequency, by_pulse = levels[depth]
+        before = _toward(a, grid.center(ti, tj, size * split)) if depth else 0 * p
+        for i, j in way[depth : depth + 1] or [(ti * split + ci, tj * split + cj) for ci in range(split) for cj in range(split)]:
+            if i * size < grid.nx and j * size < grid.ny:
+                cycles = 2 / C * np.outer(_toward(a, grid.center(i, j, size)) - before, f)
+                turned = z * np.exp(2j * np.pi * (cycles - np.rint(cycles)))
+                del cycles
+                yield from below(i, j, *_fewer(p, a, _decimated(turned, np.array(kaiser_decimator(by_frequency, passband, 60.0)), by_frequency) if by_frequency > 1 else turned, by_pulse, passband), depth + 1, way)
 
-def _children(grid: Grid, parent: int, size: int, split: int, at: tuple[float, float], n: int, step: int, passband: float):
-    """The history of every child tile, turned to its centre and filtered along frequency."""
-    taps = np.array(kaiser_decimator(step, passband, 60.0))
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = at[0] + np.arange(n) * at[1]
-        for ti, tj, table in _by_tile(tables):
-            z, a, p = _rows(table)
-            before = _toward(a, grid.center(ti, tj, parent)) if parent < max(grid.nx, grid.ny) else 0 * p
-            for ci in range(split):
-                for cj in range(split):
-                    i, j = ti * split + ci, tj * split + cj
-                    if (ti * parent + ci * size) >= grid.nx or (tj * parent + cj * size) >= grid.ny or ci * size >= parent or cj * size >= parent:
-                        continue
-                    here = grid.points(np.array(ti * parent + ci * size + (size - 1) / 2), np.array(tj * parent + cj * size + (size - 1) / 2))
-                    cycles = 2 / C * np.outer(_toward(a, here) - before, f)
-                    yield _patch(i, j, p, a, _decimated(z * np.exp(2j * np.pi * (cycles - np.rint(cycles))), taps, step) if step > 1 else z * np.exp(2j * np.pi * (cycles - np.rint(cycles))))
+    def run(table: pa.Table) -> pa.Table:
+        ti, tj = table.column("ti")[0].as_py(), table.column("tj")[0].as_py()
+        z, a, p = _rows(table.sort_by("p").combine_chunks().to_batches()[0])
+        way = [(ti // split**d, tj // split**d) for d in range(first)[::-1]]
+        found = list(below(0, 0, p, a, z, 0, way))
+        return pa.table([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array([f[2].real for f in found]), pa.array([f[2].imag for f in found])], schema=_IMAGE)
 
     return run
 
 
-def _fewer(step: int, passband: float):
+def _fewer(p: np.ndarray, a: np.ndarray, z: np.ndarray, step: int, passband: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pulses of one tile filtered and decimated; the track goes straight on beyond its ends."""
+    if step == 1 or len(p) < 2:
+        return p, a, z
     taps = np.array(kaiser_decimator(step, passband, 60.0))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("p").combine_chunks()
-        z, a, p = _rows(table.to_batches()[0])
-        if len(p) < 2:
-            return table
-        kept = np.arange(-_beyond(len(taps), step), len(p) + _beyond(len(taps), step), step)
-        at = np.clip(kept, 0, len(p) - 1)
-        slope = np.where((kept < 0)[:, None], a[1] - a[0], a[-1] - a[-2])
-        pace = np.where(kept < 0, p[1] - p[0], p[-1] - p[-2])
-        out = _patch(table.column("ti")[0].as_py(), table.column("tj")[0].as_py(), p[at] + (kept - at) * pace, a[at] + (kept - at)[:, None] * slope, _decimated(z.T, taps, step).T)
-        return pa.Table.from_batches([out])
-
-    return run
+    kept = np.arange(-_beyond(len(taps), step), len(p) + _beyond(len(taps), step), step)
+    at = np.clip(kept, 0, len(p) - 1)
+    slope = np.where((kept < 0)[:, None], a[1] - a[0], a[-1] - a[-2])
+    pace = np.where(kept < 0, p[1] - p[0], p[-1] - p[-2])
+    return p[at] + (kept - at) * pace, a[at] + (kept - at)[:, None] * slope, _decimated(z.T, taps, step).T
 
 
 #: Pairs of a pulse and a pixel that are summed at once.
 _PAIRS = 1 << 15
 
 
-def _finished(grid: Grid, size: int, at: tuple[float, float]):
+def _direct(grid: Grid, size: int, at: tuple[float, float], ti: int, tj: int, a: np.ndarray, z: np.ndarray, whole: bool = False) -> np.ndarray:
     """The direct sum over what is left of the history of a small tile."""
-    schema = pa.schema([("ti", pa.int64()), ("tj", pa.int64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
+    i, j = np.meshgrid(np.arange(ti * size, (ti + 1) * size), np.arange(tj * size, (tj + 1) * size), indexing="ij")
+    x = grid.points(i, j).reshape(-1, 3)
+    center = grid.center(ti, tj, size)
+    total = np.zeros(len(x), np.complex128)
+    many = max(1, _PAIRS // len(x))  # pulses at once
+    for n in range(0, len(z), many):
+        antenna, samples = a[n : n + many, None], z[n : n + many]
+        dr = _toward(antenna, x) - (0 if whole else _toward(antenna, center))
+        step = np.exp(4j * np.pi / C * at[1] * dr)
+        value = np.zeros(dr.shape, np.complex128)
+        for k in range(samples.shape[1])[::-1]:
+            value *= step
+            value += samples[:, k, None]
+        cycles = 2 / C * at[0] * dr
+        total += (value * np.exp(2j * np.pi * (cycles - np.rint(cycles)))).sum(0)
+    return total
+
+
+def _finished(grid: Grid, size: int, at: tuple[float, float]):
+    """The only tile of a small image, summed directly from the pulses of a batch."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ti, tj, table in _by_tile(tables):
+        for table in tables:
             z, a, _ = _rows(table)
-            i, j = np.meshgrid(np.arange(ti * size, (ti + 1) * size), np.arange(tj * size, (tj + 1) * size), indexing="ij")
-            x = grid.points(i, j).reshape(-1, 3)
-            whole = size >= max(grid.nx, grid.ny)
-            center = grid.center(ti, tj, size)
-            total = np.zeros(len(x), np.complex128)
-            many = max(1, _PAIRS // len(x))  # pulses at once
-            for n in range(0, len(z), many):
-                antenna, samples = a[n : n + many, None], z[n : n + many]
-                dr = _toward(antenna, x) - (0 if whole else _toward(antenna, center))
-                step = np.exp(4j * np.pi / C * at[1] * dr)
-                value = np.zeros(dr.shape, np.complex128)
-                for k in range(samples.shape[1])[::-1]:
-                    value *= step
-                    value += samples[:, k, None]
-                cycles = 2 / C * at[0] * dr
-                total += (value * np.exp(2j * np.pi * (cycles - np.rint(cycles)))).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([ti]), pa.array([tj]), pa.array([total.real]), pa.array([total.imag])], schema=schema)
+            total = _direct(grid, size, at, 0, 0, a, z, True)
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([total.real]), pa.array([total.imag])], schema=_IMAGE)
 
     return run
 

@@ -222,3 +222,24 @@ def test_steps_take_little_disk(spark, folder, tmp_path, name, most):
     QUERIES[name](spark, d).write.parquet(f"{tmp_path}/out")
     size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
     assert size < most * spark.read.parquet(f"{tmp_path}/out").count()
+
+
+def test_factors_exchange_pulses_once_and_tiles_of_any_size(spark):
+    """37 pixels do not halve evenly: tiles of all levels keep common edges; no exchange below the tiles that pulses are sent to."""
+    from echoframe.operators import focus
+
+    n, k, f = 96, 24, 9.4e9 + np.arange(24) * 2.5e6
+    a, at = _track(n) - [0, n * 1.25 - 11.25, 0], np.array([[7.5, -6.5, 0], [-8.0, 8.0, 0], [3.0, 8.5, 0]])
+    dr = np.linalg.norm(at[None] - a[:, None], axis=-1) - np.linalg.norm(a, axis=1)[:, None]
+    s = np.exp(-4j * np.pi / 299792458.0 * dr[..., None] * f).sum(1)
+    pulses = spark.createDataFrame([(p, *map(float, x), z.real.tolist(), z.imag.tolist()) for p, (x, z) in enumerate(zip(a, s))], "p long, ax double, ay double, az double, re array<double>, im array<double>")
+    grid = focus.Grid(37, 37, 0.5, 0.5)
+    out = focus.factorized(pulses, grid, fmin=f[0], df=2.5e6, k=k, tile=6)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    got = np.full((37, 37), np.nan, complex)
+    for r in out.collect():
+        got[r.i, r.j] = complex(r.re, r.im)
+    x = grid.points(*np.meshgrid(np.arange(37), np.arange(37), indexing="ij"))
+    back = np.linalg.norm(x[None] - a[:, None, None], axis=-1) - np.linalg.norm(a, axis=1)[:, None, None]
+    want = sum((s[:, m, None, None] * np.exp(4j * np.pi / 299792458.0 * back * f[m])).sum(0) for m in range(k))
+    assert np.abs(got - want).max() < 10 ** (-30 / 20) * np.abs(want).max()
