@@ -103,10 +103,12 @@ def polar_format(pulses: DataFrame, *, fmin: float, df: float, k: int, count: in
     read = read.join(F.broadcast(places), "line").select(F.col("place").alias("line"), "re", "im")
 
     def cross(line: int, z: np.ndarray) -> np.ndarray:
-        want = azimuth / grid[line]
-        return np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(sinc_read(z, np.interp(want, steep, np.arange(len(steep))), taps))))
+        want, covered = azimuth / grid[line], np.flatnonzero(z)
+        first, last = (covered[0], covered[-1] + 1) if len(covered) else (0, 0)
+        return np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(sinc_read(z[first:last], np.interp(want, steep, np.arange(len(steep))) - first, taps))))
 
-    image = map_lines(corner_turn(map_lines(corner_turn(read), cross)), lambda _, z: np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(z))))
+    # a pulse covers few of the wavenumbers of a long track
+    image = map_lines(corner_turn(map_lines(corner_turn(read, (len(ids), k)), cross), (k, count)), lambda _, z: np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(z))))
     return image, 1 / ((azimuth[1] - azimuth[0]) * count), 1 / ((grid[1] - grid[0]) * k)
 
 

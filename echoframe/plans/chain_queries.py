@@ -124,7 +124,7 @@ def _(spark, d):
 def _(spark, d):
     """An image of the same pulses by polar format."""
     track = _small(spark, d)[1]
-    return r.rounded(lines.to_pixels(focus.polar_format(_pulses(spark, d), fmin=_FMIN, df=_DF, k=_K, count=track.count(), track=track)[0]), 3)
+    return r.rounded(lines.to_pixels(focus.polar_format(_pulses(spark, d), fmin=_FMIN, df=_DF, k=_K, count=track.count(), track=track)[0]), 3, many=True)
 
 
 def _stripmap(spark, n: int, m: int):

@@ -60,9 +60,17 @@ def box(source: str, names: str, w1: int, w2: int) -> str:
     return along("i", "j", w1, f"({along('j', 'i', w2, source)})")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every double rounded, negative zero made positive."""
-    return df.select(*((F.round(F.col(n), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
+def _round(x, digits: int):
+    """What F.round gives, without its decimal number for each value wherever no tie is near."""
+    y = F.abs(x) * 10.0**digits
+    clear = (y < 2.0**40) & (F.abs(y - F.floor(y) - 0.5) > 1e-3)
+    return F.when(clear, F.signum(x) * F.floor(y + 0.5) / 10.0**digits).otherwise(F.round(x, digits))
+
+
+def rounded(df: DataFrame, digits: int = 6, many: bool = False) -> DataFrame:
+    """Every double rounded, negative zero made positive; ``many`` rows by a cheaper way to the same numbers."""
+    near = _round if many else F.round
+    return df.select(*((near(F.col(n), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
 
 
 def rounded_sql(sql: str, doubles: str, others: str = "", digits: int = 6) -> str:

@@ -243,3 +243,28 @@ def test_factors_exchange_pulses_once_and_tiles_of_any_size(spark):
     back = np.linalg.norm(x[None] - a[:, None, None], axis=-1) - np.linalg.norm(a, axis=1)[:, None, None]
     want = sum((s[:, m, None, None] * np.exp(4j * np.pi / 299792458.0 * back * f[m])).sum(0) for m in range(k))
     assert np.abs(got - want).max() < 10 ** (-30 / 20) * np.abs(want).max()
+
+
+def test_corner_turn_and_pixels_make_no_row_of_a_sample(spark):
+    """Lines of different lengths in any order, and lines of zeros that stay where they are."""
+    from echoframe.operators import lines
+
+    z = {7: [1.0, 2.0, 3.0], 2: [4.0] * 40, 5: [0.0]}
+    df = spark.createDataFrame([(k, v, [-x for x in v]) for k, v in z.items()], lines.SCHEMA).repartition(3)
+    out = lines.corner_turn(df)
+    assert {r.line: (r.re, r.im) for r in out.collect()} == {c: (w := [z[k][c] for k in (2, 5, 7) if len(z[k]) > c], [-x for x in w]) for c in range(40)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = lines.corner_turn(df, (9, 40))
+    assert {r.line: r.re for r in whole.collect()} == {c: [z[k][c] if len(z.get(k, [])) > c else 0.0 for k in range(9)] for c in range(40)}
+    pixels = lines.to_pixels(df)
+    assert {(r.i, r.j): r.re for r in pixels.collect()} == {(k, c): x for k, v in z.items() for c, x in enumerate(v)}
+    assert "Generate" not in pixels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_of_many_rows_gives_the_same(spark):
+    from echoframe.plans import rasters
+
+    x = [*(RNG.normal(size=2000) * 10.0 ** RNG.integers(-6, 16, 2000)), 0.0005, -0.0015, 1.0005, -0.0, 1e300, float("nan"), float("inf"), 0.0004999999999, None]
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(x)], "i long, x double")
+    a, b = (sorted(map(str, rasters.rounded(df, 3, many=m).collect())) for m in (True, False))
+    assert a == b
