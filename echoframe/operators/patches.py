@@ -69,8 +69,8 @@ def time_domain(echoes: DataFrame, pulses: DataFrame, points: DataFrame, *, fs:
                 yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in at], pa.int64()), pa.array(total.real), pa.array(total.imag)], names=["id", "re", "im"])
 
     lines = echoes.select(F.col("line").alias("p"), "re", "im").join(pulses, "p")
-    mine = _blocks(lines, "p", _BLOCK // 64, ["ax", "ay", "az", "re", "im"]).select(F.col("rows").alias("mine"))
-    at = _blocks(points.select(F.col("id").cast("long").alias("id"), "x", "y", "z"), "id", _BLOCK // 16384, ["id", "x", "y", "z"]).select(F.col("rows").alias("at"))
+    mine = _blocks(lines, "p", _BLOCK // 64, ["ax", "ay", "az", "re", "im"])[0].select(F.col("rows").alias("mine"))
+    at = _blocks(points.select(F.col("id").cast("long").alias("id"), "x", "y", "z"), "id", _BLOCK // 16384, ["id", "x", "y", "z"])[0].select(F.col("rows").alias("at"))
     return mine.crossJoin(at).mapInArrow(images, "id long, re double, im double").groupBy("id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
